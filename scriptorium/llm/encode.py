@@ -27,14 +27,25 @@ STORE_LIMIT = 200_000
 STORED_CHARS = 48
 
 
-def byte_pairs(tokens: Iterator[bytes]) -> np.ndarray:
-    """256 x 256 truth table: does any token hold byte x directly before byte y?"""
-    seen = np.zeros((256, 256), dtype=bool)
+def joined_before(tokens: Iterator[bytes], blank: int) -> set[str] | None:
+    """Characters that some token holds directly before ``blank``; None if one can't be told.
+
+    Where a token holds no byte pair (x, blank), x being the last byte of a character, a cut
+    between the two is certain. Byte pairs alone would also forbid cuts after characters that
+    share their last byte with one of these, so the whole character is looked at.
+    """
+    found: set[str] = set()
     for t in tokens:
-        if len(t) > 1:
-            b = np.frombuffer(t, dtype=np.uint8)
-            seen[b[:-1], b[1:]] = True
-    return seen
+        for i in range(1, len(t)):
+            if t[i] == blank:
+                k = i - 1
+                while k > 0 and 0x80 <= t[k] < 0xC0:
+                    k -= 1
+                try:
+                    found.add(t[k:i].decode())
+                except UnicodeDecodeError:
+                    return None
+    return found
 
 
 class Encoder(dict):
@@ -44,7 +55,7 @@ class Encoder(dict):
     return and space. The pre-splitting pattern never lets a piece run from a non-space into
     white space, and its only look-ahead concerns white space before the cut, of which there is
     none, so such a cut never changes the pieces. The constructor checks against the vocabulary
-    that no token spans it and leaves out any byte pair for which that fails.
+    that no token spans it and leaves out any blank for which that fails.
     """
 
     def __init__(self, folder: str | None = None, name: str = "byte_bpe_50k"):
@@ -58,11 +69,8 @@ class Encoder(dict):
         module = importlib.util.module_from_spec(spec)
         spec.loader.exec_module(module)
         self.encoding = tiktoken.Encoding(name, pat_str=module.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        pairs = byte_pairs(iter(ranks))
-        blanks = "\t\n\r "
-        left = [x for x in range(256) if chr(x) not in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "]
-        # a blank is a forced cut if no token has it after any byte that can end a non-blank character
-        self.cuts = "".join(b for b in blanks if not pairs[left, ord(b)].any())
+        known = {b: joined_before(iter(ranks), ord(b)) for b in "\t\n\r "}
+        self.cuts = "".join(b for b, left in known.items() if left is not None and all(x.isspace() for x in left))
         c = re.escape(self.cuts)
         self.fragments = re.compile(rf"\s*\S+(?:[^\S{c}]\s*\S+)*|\s+" if self.cuts else r"(?s).+").findall
 
