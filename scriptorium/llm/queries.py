@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scriptorium.llm import boilerplate, distinct_terms, encode, frequency, mixing, topn
+from scriptorium.llm import boilerplate, distinct_terms, encode, frequency, markup, mixing, neardup, topn
 from scriptorium.session import load
 
 QUERIES: dict = {}
@@ -121,3 +121,13 @@ SELECT term, CAST(count(DISTINCT docid) AS BIGINT) AS document_count,
 )
 def p6_counts(spark, d):
     return frequency.term_counts(load(spark, d, "postings"))
+
+
+@query("p1_found")
+def p1_found(spark, d):
+    return markup.found(load(spark, d, "documents"))
+
+
+@query("p3_found")
+def p3_found(spark, d):
+    return neardup.NearDuplicates(load(spark, d, "documents")).all_pairs()
