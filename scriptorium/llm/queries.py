@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scriptorium.llm import boilerplate, distinct_terms, encode, frequency, markup, mixing, neardup, topn
+from scriptorium.llm import boilerplate, distinct_terms, encode, frequency, markup, mixing, neardup, quality, topn
 from scriptorium.session import load
 
 QUERIES: dict = {}
@@ -131,3 +131,18 @@ def p1_found(spark, d):
 @query("p3_found")
 def p3_found(spark, d):
     return neardup.NearDuplicates(load(spark, d, "documents")).all_pairs()
+
+
+@query("p10_found")
+def p10_found(spark, d):
+    return quality.no_prose(load(spark, d, "documents"), load(spark, d, "common_words"))
+
+
+@query("p10_statistics")
+def p10_statistics(spark, d):
+    return quality.statistics(load(spark, d, "documents"), load(spark, d, "common_words"))
+
+
+@query("p10_scores")
+def p10_scores(spark, d):
+    return quality.scores(load(spark, d, "documents"), load(spark, d, "common_words"))[1]
