@@ -22,7 +22,8 @@ def rates(documents: DataFrame, targets: DataFrame, folder: str | None = None, s
     trimmed and lower-cased; null target shares count as 0 and null ``max_repeats`` as 1.
     """
     if spent is None:
-        spent = count_tokens(documents, "source", folder=folder)
+        # a few rows, used twice: cut, so that every text is encoded once
+        spent = durable(count_tokens(documents, "source", folder=folder), "spent")
     total = spent.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
     t = targets.select(
         "source",
