@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from scriptorium.queries.registry import ORACLES, QUERIES
 
-from . import evaluation, indexing, links, retrieval, skew  # noqa: F401  (they register themselves)
+from . import evaluation, indexing, links, retrieval, skew, text  # noqa: F401  (they register themselves)
 
 
 def flagship(spark, directory):
