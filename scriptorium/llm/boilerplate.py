@@ -259,3 +259,22 @@ def main_texts(documents: DataFrame) -> DataFrame:
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return arrow_map(rows.select("doc_id", "site", "text", "furniture"), run, f"doc_id {kind}, text string")
+
+
+def labelled_lines(documents: DataFrame) -> DataFrame:
+    """(text, is_content) of the lines of pages, as the templates label them; blank lines are left
+    out. For fitting weights on a bounded sample of them."""
+    rows, roles = Furniture(documents).with_lines(documents.where(F.col("site").isNotNull() & F.col("text").contains("<")), ["doc_id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, label = [], []
+            for site, text, marked in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                out = set(marked or ()) if roles is None else set(furniture_lines(text, site, roles))
+                for no, line in enumerate(text.split("\n")):
+                    if line.strip():
+                        texts.append(line)
+                        label.append(no not in out)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(label, pa.bool_())], names=["text", "is_content"])
+
+    return arrow_map(rows.select("site", "text", "furniture"), run, "text string, is_content boolean")

@@ -146,3 +146,16 @@ def p10_statistics(spark, d):
 @query("p10_scores")
 def p10_scores(spark, d):
     return quality.scores(load(spark, d, "documents"), load(spark, d, "common_words"))[1]
+
+
+@query("p3_groups")
+def p3_groups(spark, d):
+    """One row per document: its group at five words and a similarity of 0.8, and its links."""
+    return neardup.NearDuplicates(load(spark, d, "documents"), run_words=5, threshold=0.8).groups()
+
+
+@query("p1_clean")
+def p1_clean(spark, d):
+    """Clean texts; the weights are fitted on lines that the page templates label."""
+    docs = load(spark, d, "documents")
+    return markup.cleaned(docs, markup.fit_weights(boilerplate.labelled_lines(docs)))
