@@ -22,7 +22,7 @@ def _c(x) -> Column:
 def background(cf, collection_length) -> Column:
     """Share of a term in the collection; half an occurrence for terms that don't occur."""
     cf, c = _c(cf), _c(collection_length)
-    return F.when(cf > 0, cf / c).otherwise(F.lit(0.5) / c)
+    return F.when(cf > 0, F.try_divide(cf, c)).otherwise(F.try_divide(F.lit(0.5), c))
 
 
 def dirichlet(tf, length, cf, collection_length, mu: float = 1500.0) -> Column:
@@ -43,7 +43,7 @@ def bm25_idf(df, documents, profile: str = "classic") -> Column:
 
 def bm25(tf, length, df, documents, mean_length, b: float = 0.75, k: float = 1.2, profile: str = "classic") -> Column:
     tf = _c(tf)
-    norm = k * (1.0 - b + b * _c(length) / _c(mean_length))
+    norm = k * (1.0 - b + b * F.try_divide(_c(length), _c(mean_length)))
     return F.when(tf > 0, bm25_idf(df, documents, profile) * tf * (k + 1.0) / (tf + norm)).otherwise(0.0)
 
 
@@ -55,7 +55,7 @@ def bm25_feedback(matches: Column, rt, r, ft, documents, factor: float = 0.33) -
 
 
 def bm25_field(tf, length, mean_length, b: float = 0.5) -> Column:
-    return _c(tf) / (1.0 + b * (_c(length) / _c(mean_length) - 1.0))
+    return _c(tf) / (1.0 + b * (F.try_divide(_c(length), _c(mean_length)) - 1.0))
 
 
 def bm25f_combine(fields: list[Column], weights: list[float], idf, k: float = 0.5) -> Column:
@@ -64,14 +64,14 @@ def bm25f_combine(fields: list[Column], weights: list[float], idf, k: float = 0.
 
 
 def _tfn(tf, length, mean_length, c: float) -> Column:
-    return _c(tf) * F.log2(1.0 + c * _c(mean_length) / _c(length))
+    return _c(tf) * F.log2(1.0 + c * F.try_divide(_c(mean_length), _c(length)))
 
 
 def pl2(tf, length, cf, documents, mean_length, c: float = 1.0) -> Column:
     t = _tfn(tf, length, mean_length, c)
-    f = _c(cf) / _c(documents)
+    f = F.try_divide(_c(cf), _c(documents))
     log2e = math.log2(math.e)
-    s = (t * F.log2(1.0 / f) + f * log2e + 0.5 * F.log2(2.0 * math.pi * t) + t * (F.log2(t) - log2e)) / (t + 1.0)
+    s = (t * -F.log2(f) + f * log2e + 0.5 * F.log2(2.0 * math.pi * t) + t * (F.log2(t) - log2e)) / (t + 1.0)
     return F.when(_c(tf) > 0, F.greatest(s, F.lit(0.0))).otherwise(0.0)
 
 
@@ -91,7 +91,7 @@ def bil2(tf, length, df, documents, mean_length, c: float = 1.0) -> Column:
     tf, n = _c(tf), _c(length)
     t = _tfn(tf, length, mean_length, c)
     rest = n - 1.0 - t
-    p = 1.0 / (n - 1.0)
+    p = F.try_divide(F.lit(1.0), n - 1.0)
     s = _log_factorial(t) + _log_factorial(rest) - _log_factorial(n - 1.0) - tf * F.log2(p) - rest * F.log2(1.0 - p)
     return F.when((tf > 0) & (n > 2) & (rest > 0), s / (t + 1.0)).otherwise(0.0)
 

@@ -45,20 +45,18 @@ def select_ranks(values: DataFrame, targets: DataFrame, key: str, value: str, we
         n = open_.count()
         if not n:
             break
-        # widths as decimals of the unsigned span, which may exceed a signed 64-bit number
-        width = F.ceil((F.col("hi").cast("decimal(38,0)") - F.col("lo").cast("decimal(38,0)") + 1) / SLICES).cast("decimal(38,0)")
-        b = open_.withColumn("width", width)
+        # decimals hold the span, which may exceed a signed 64-bit number; div is exact
+        b = open_.withColumn("width", F.expr(f"(cast(hi as decimal(20,0)) - cast(lo as decimal(20,0))) div {SLICES} + 1"))
         j = v.join(F.broadcast(b) if n <= BROADCAST_BRACKETS else b, key).where(F.col("v").between(F.col("lo"), F.col("hi")))
-        at = F.floor((F.col("v").cast("decimal(38,0)") - F.col("lo").cast("decimal(38,0)")) / F.col("width")).cast("int")
+        at = F.expr("cast((cast(v as decimal(20,0)) - cast(lo as decimal(20,0))) div width as int)")
         counts = j.groupBy(key, "rank", "lo", "hi", "left", "width", at.alias("at")).agg(F.sum("w").alias("c"))
         upto = F.sum("c").over(Window.partitionBy(key, "rank").orderBy("at"))
         hit = counts.withColumn("upto", upto).where((F.col("upto") >= F.col("left")) & (F.col("upto") - F.col("c") < F.col("left")))
-        lo = F.col("lo").cast("decimal(38,0)") + F.col("at") * F.col("width")
         new = hit.select(
             key,
             "rank",
-            lo.cast("bigint").alias("lo"),
-            F.least(F.col("hi").cast("decimal(38,0)"), lo + F.col("width") - 1).cast("bigint").alias("hi"),
+            F.expr("cast(cast(lo as decimal(20,0)) + cast(at as decimal(10,0)) * cast(width as decimal(20,0)) as bigint) as lo"),
+            F.expr("cast(least(cast(hi as decimal(31,0)), cast(lo as decimal(20,0)) + cast(at + 1 as decimal(10,0)) * cast(width as decimal(20,0)) - 1) as bigint) as hi"),
             (F.col("left") - (F.col("upto") - F.col("c"))).alias("left"),
         )
         state = durable(state.where("lo = hi").unionByName(new), "brackets")
