@@ -128,25 +128,34 @@ def best_region(text: str, weights: dict[str, float]) -> tuple[int, int]:
     return a, len(text) if e < 0 else e
 
 
-def fit_weights(lines: DataFrame, most: int = 50_000) -> dict[str, float]:
+def fit_weights(lines: DataFrame) -> dict[str, float]:
     """Weights from labelled lines (text, is_content): the log of how much more often a class
-    stands in content than outside, per 1000 words and tags.
+    stands in content than outside, relative to that of words.
 
-    At most ``most`` labelled lines are used, those with the least hash of their text; the fit
-    has four figures, for which that bound is ample. Without lines of both labels the defaults
-    stay.
+    All lines count; each batch adds up its own classes, so only a few sums are moved. Without
+    lines of both labels the defaults stay.
     """
-    rows = lines.where(F.col("text").contains("<")).orderBy(F.xxhash64("text")).limit(most).collect()
-    n = {True: dict.fromkeys(DEFAULT_WEIGHTS, 1.0), False: dict.fromkeys(DEFAULT_WEIGHTS, 1.0)}
-    for r in rows:
-        for kind, _, _ in classes(r["text"]):
-            n[bool(r["is_content"])][kind] += 1
+    order = list(DEFAULT_WEIGHTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = {k: dict.fromkeys(order, 0) for k in (True, False)}
+            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for kind, _, _ in classes(text or ""):
+                    n[bool(label)][kind] += 1
+            rows = [(k, c, n[k][c]) for k in n for c in order]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.int64())], names=["label", "class", "n"])
+
+    counted = arrow_map(lines.select("text", "is_content").where(F.col("text").contains("<")), run, "label boolean, class string, n bigint")
+    n = {True: dict.fromkeys(order, 1.0), False: dict.fromkeys(order, 1.0)}
+    for r in counted.groupBy("label", "class").agg(F.sum("n").alias("n")).collect():  # eight sums
+        n[r["label"]][r["class"]] += r["n"]
     inside, outside = sum(n[True].values()), sum(n[False].values())
     if min(inside, outside) <= 4.0:
         return dict(DEFAULT_WEIGHTS)
-    w = {k: float(np.log((n[True][k] / inside) / (n[False][k] / outside))) for k in DEFAULT_WEIGHTS}
+    w = {k: float(np.log((n[True][k] / inside) / (n[False][k] / outside))) for k in order}
     scale = max(w["word"], 0.05)
-    return {"word": 1.0} | {k: min(0.0, w[k] / scale) for k in ("inline", "block", "listed")}
+    return {"word": 1.0} | {k: min(0.0, w[k] / scale) for k in order if k != "word"}
 
 
 # --- conversion ---------------------------------------------------------------------------
