@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import scoring as S
 from scriptorium.functions.text import STOPWORDS
-from scriptorium.operators.index import Index
+from scriptorium.operators.index import Index, merge
 from scriptorium.plans.query import Node, parse, walk, weights_of
 from scriptorium.plans.rewrites import rewrite
 from scriptorium.plans.tree import TreePlan
+from scriptorium.session import durable
 
 _LEAF = "qid string, leaf string, weight double, scorer string, p1 double, p2 double"
 _DEFINITION = "leaf string, form string, width int, part string, child int, children int, term string"
@@ -52,7 +53,11 @@ class Engine:
         return rewrite(n, {**self.params, **params}, self._stats)
 
     def named(self, result: DataFrame) -> DataFrame:
-        return result.join(self.index.names, "docid", "left")
+        """``result`` (a top-k list, written once) with names. The list is broadcast to the table
+        of names, which is scanned but never shuffled."""
+        top = durable(result, "top")
+        own = self.index.names.join(F.broadcast(top.select("docid").distinct()), "docid", "left_semi")
+        return top.join(F.broadcast(own), "docid", "left")
 
     def search(self, query: str | Node, k: int = 1000, working_set: DataFrame | None = None, explain: bool = False, **params) -> DataFrame:
         """(docid, score, rank, name[, leaves]) of one query; any operator may be used."""
@@ -245,5 +250,26 @@ def _unordered_count(c, width):
     return F.size(F.filter(begins, fits))
 
 
+class Group:
+    """Named engines. Several can answer as one (their documents are disjoint; statistics are
+    those of all together), or one with the statistics of another."""
+
+    def __init__(self, engines: dict[str, Engine]):
+        self.engines = engines
+
+    def merged(self, names: list[str] | None = None) -> Engine:
+        picked = [self.engines[n] for n in (names or self.engines)]
+        return Engine(merge([e.index for e in picked]), **picked[0].params)
+
+    def search(self, name: str, query: str | Node, k: int = 1000, statistics_of: str | None = None, **params) -> DataFrame:
+        e = self.engines[name]
+        if statistics_of is None:
+            return e.search(query, k, **params)
+        other = self.engines[statistics_of]
+        mine = Engine(e.index, e.trees.priors, e.trees.indicators, **e.params)
+        mine.trees.background(other.trees)
+        return mine.search(query, k, **params)
+
+
 #: Ranking algorithms by name; users add their own.
 STRATEGIES: dict[str, Callable] = {"rank": Engine.search, "set": Engine.boolean, "passages": Engine.passages, "two-pass": Engine.two_pass}

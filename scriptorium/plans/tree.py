@@ -85,10 +85,16 @@ class TreePlan:
                 self._nodes[n] = (r[f"cf{i}"], r[f"df{i}"], r[f"mx{i}"])
         return {n: self._nodes[n] for n in nodes}
 
+    def background(self, other: TreePlan) -> None:
+        """Take the statistics of another collection instead of the own ones."""
+        self.collection, self.node_stats = other.collection, other.node_stats
+        self._stat = other._stat
+
     # --- rows -----------------------------------------------------------------------------
 
     def _grouped(self, trees: list[Node]) -> DataFrame:
-        """(docid, m map<leaf, extents>) of documents with any leaf."""
+        """(docid, m map<leaf, extents>, dl) of documents with any leaf; dl is null where only
+        tags are found."""
         leaves = {leaf_of(n) for t in trees for n in walk(t) if n.op in ("text", "counts", "extents")}
         post = [x for x in leaves if x.table == "postings"]
         tags = sorted({x.term for x in leaves if x.table == "extents"})
@@ -99,21 +105,24 @@ class TreePlan:
                 terms = sorted({x.term for x in post if x.part == part})
                 hit = hit | ((F.col("part") == part) & F.col("term").isin(terms))
             p = self.index.postings.where(hit)
-            parts.append(p.select("docid", F.concat_ws("\t", "part", "term").alias("key"), W.unit(F.col("positions")).alias("ext")))
+            parts.append(p.select("docid", F.concat_ws("\t", "part", "term").alias("key"), W.unit(F.col("positions")).alias("ext"), F.col("length").cast("int").alias("dl")))
         if tags:
             if self.index.extents is None:
                 raise QueryError("the index has no extents")
             e = self.index.extents.where(F.col("name").isin(tags)).groupBy("docid", "name")
             e = e.agg(F.array_sort(F.collect_list(F.struct(F.col("begin").cast("int").alias("begin"), F.col("end").cast("int").alias("end")))).alias("ext"))
-            parts.append(e.select("docid", F.concat(F.lit("extents\t"), F.col("name")).alias("key"), "ext"))
+            parts.append(e.select("docid", F.concat(F.lit("extents\t"), F.col("name")).alias("key"), "ext", F.lit(None).cast("int").alias("dl")))
         u = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        return u.groupBy("docid").agg(F.map_from_entries(F.collect_list(F.struct("key", "ext"))).alias("m"))
+        return u.groupBy("docid").agg(F.map_from_entries(F.collect_list(F.struct("key", "ext"))).alias("m"), F.max("dl").alias("dl"))
 
     def rows(self, tree: Node) -> DataFrame:
         """The rows the tree is evaluated over, with length, typed fields and side values."""
         every = any(n.op in _ALL_DOCUMENTS for n in walk(tree))
-        d = self.index.lengths.where(F.col("field") == "document").select("docid", F.col("length").alias("dl"))
-        r = d.join(self._grouped([tree]), "docid", "left" if every else "inner")
+        r = self._grouped([tree])
+        if every or any(leaf_of(n).table == "extents" for n in walk(tree) if n.op in ("text", "counts", "extents")):
+            # otherwise the postings know the length, and no table of all documents is touched
+            d = self.index.lengths.where(F.col("field") == "document").select("docid", F.col("length").alias("dl"))
+            r = d.join(r.drop("dl"), "docid", "left" if every else "inner")
         fields = sorted({str(c.children[0].get("default")) for c in walk(tree) if c.op in _COMPARE})
         if fields:
             if self.index.fields is None:

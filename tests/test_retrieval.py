@@ -173,3 +173,16 @@ def test_save_and_open(spark, tmp_path):
     j = Index.open(spark, str(tmp_path / "i"))
     assert j.extents is None
     assert got(Engine(j).search("b", 5)) == got(Engine(i).search("b", 5))
+
+
+def test_groups_and_background_statistics(spark):
+    from scriptorium.operators.retrieval import Group
+
+    docs = spark.createDataFrame([(i, " ".join(["a"] * (i % 3) + ["b", "c"] * (i % 2))) for i in range(12)], "doc_id bigint, text string")
+    part = lambda c: Engine(build(tokenized(docs.where(c))))
+    whole, g = part("true"), Group({"x": part("doc_id < 5"), "y": part("doc_id >= 5")})
+    assert got(g.merged().search("a b", 5)) == got(whole.search("a b", 5))
+    all_scores = dict(got(whole.search("a b", 50)))
+    g.engines["all"] = whole
+    assert all(all_scores[d] == s for d, s in got(g.search("x", "a b", statistics_of="all")))
+    assert got(g.search("x", "a b", scorer="bm25")) != got(g.search("x", "a b", statistics_of="all", scorer="bm25"))
