@@ -18,7 +18,7 @@ from scriptorium.session import durable
 #: Slices of a bracket in one pass.
 SLICES = 1024
 #: Rows from which a key counts as hot.
-HOT_ROWS = 1_000_000
+HOT_ROWS = 10_000
 #: Most brackets sent to every worker; with more they are joined by a shuffle.
 BROADCAST_BRACKETS = 1_000_000
 
