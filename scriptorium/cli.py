@@ -27,12 +27,12 @@ def _queries(path: str) -> dict[str, str]:
 
 def build(spark, a) -> None:
     from scriptorium.functions.stemmers import stemmed_postings
-    from scriptorium.operators.index import build as make
-    from scriptorium.operators.index import dense_ids, tokenized
+    from scriptorium.operators.index import build_from as make
+    from scriptorium.operators.index import dense_ids
     from scriptorium.sources.readers import read
 
     docs = dense_ids(read(spark, a.input, a.format), "name")
-    i = make(tokenized(docs, "docid", name="name"))
+    i = make(docs, "docid", name="name")
     for s in a.stemmer or ():
         i.postings = i.postings.unionByName(stemmed_postings(i.postings, s))
     i.save(a.index)

@@ -6,6 +6,7 @@ term within range partitions, so that a look-up of terms reads few row groups.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,14 +95,22 @@ def tokenized(documents: DataFrame, docid: str = "doc_id", text: str = "text", n
     return documents.where(F.col(docid).isNotNull()).select(F.col(docid).cast("bigint").alias("docid"), n.alias("name"), t.alias("tokens"))
 
 
-def build(documents: DataFrame, part: str = "postings", field: str = "document") -> Index:
+def build_from(documents: DataFrame, docid: str = "doc_id", text: str = "text", name: str | None = None, tokens: Callable[[Column], Column] = simple_tokens) -> Index:
+    """Index of texts. The raw texts are moved by id before they are tokenized, so that the work
+    is spread evenly whatever the layout of the files, and less is moved than tokens would be."""
+    raw = documents.where(F.col(docid).isNotNull()).select(F.col(docid).cast("bigint").alias("docid"), F.col(text).alias("text"))
+    return build(tokenized(documents, docid, text, name, tokens(F.col(text))), placed=raw.repartition("docid").select("docid", tokens(F.col("text")).alias("tokens")))
+
+
+def build(documents: DataFrame, part: str = "postings", field: str = "document", placed: DataFrame | None = None) -> Index:
     """Index of ``tokenized`` documents. Null tokens keep their positions but have no postings;
     lengths count them. Document ids are unique.
 
     Each document's row is moved once, whole, by its id; tokens are exploded and counted where
-    it lies: grouping by (docid, term) needs no further exchange.
+    it lies: grouping by (docid, term) needs no further exchange. ``placed`` is the same
+    documents, if they are divided by id already.
     """
-    placed = documents.repartition("docid")
+    placed = documents.repartition("docid") if placed is None else placed
     t = placed.select("docid", F.size("tokens").alias("length"), F.posexplode("tokens").alias("pos", "term")).where(F.col("term").isNotNull())
     postings = t.groupBy("docid", "term", "length").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
     return Index(

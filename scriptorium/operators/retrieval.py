@@ -120,11 +120,11 @@ class Engine:
                 one = top_k(self.trees.scored(self.plan(q, **params)), k).select(F.lit(str(qid)).alias("qid"), "docid", "score", "rank")
                 out = one if out is None else out.unionByName(one)
             return out
-        return self.score_leaves(spark.createDataFrame(both[0], _LEAF), spark.createDataFrame(both[1], _DEFINITION), k)
+        return self.score_leaves(spark.createDataFrame(both[0], _LEAF), spark.createDataFrame(both[1], _DEFINITION), k, any(r[1] != "term" for r in both[1]))
 
-    def score_leaves(self, leaves: DataFrame, definitions: DataFrame, k: int) -> DataFrame:
+    def score_leaves(self, leaves: DataFrame, definitions: DataFrame, k: int, windows: bool = True) -> DataFrame:
         c = self.trees.collection()
-        counts = node_counts(self.index, definitions)
+        counts = node_counts(self.index, definitions, windows)
         # one row per leaf of the query set, whatever the size of the collection
         stats = counts.groupBy("leaf").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
         full = leaves.join(stats, "leaf", "left").fillna({"cf": 0, "df": 0})
@@ -159,7 +159,7 @@ class Engine:
         them of weight x tf / length. Stop words and query words are left out; ties by term.
         """
         spark = self.index.postings.sparkSession
-        first = self.search_batch(queries, fb_docs, **params)
+        first = durable(self.search_batch(queries, fb_docs, **params), "first-pass")
         w = Window.partitionBy("qid")
         e = F.exp(F.col("score") - F.max("score").over(w))
         post = first.select("qid", "docid", (e / F.sum(e).over(w) / F.count("*").over(w)).alias("post"))
@@ -182,14 +182,15 @@ class Engine:
         both = self.leaves(queries, **params)
         if both is None:
             raise ValueError("feedback needs queries that are weighted sums of terms and windows")
-        terms = self.feedback_terms(queries, fb_docs, fb_terms, stopwords, **params)
+        # queries x fb_terms rows, used four times: cut, so that the first pass runs once
+        terms = durable(self.feedback_terms(queries, fb_docs, fb_terms, stopwords, **params), "feedback")
         share = F.col("weight") / F.sum("weight").over(Window.partitionBy("qid"))
         leaf = F.concat(F.lit("#text:"), F.col("term"), F.lit("()"))
         more = terms.select("qid", leaf.alias("leaf"), ((1.0 - fb_weight) * share).alias("weight"), F.lit(scorer).alias("scorer"), F.lit(get(k1, d1)).alias("p1"), F.lit(get(k2, d2)).alias("p2"))
         old = spark.createDataFrame(both[0], _LEAF).withColumn("weight", F.col("weight") * fb_weight)
         defs = terms.select(leaf.alias("leaf"), F.lit("term").alias("form"), F.lit(0).alias("width"), F.lit("postings").alias("part"), F.lit(0).alias("child"), F.lit(1).alias("children"), "term").distinct()
         all_defs = spark.createDataFrame(both[1], _DEFINITION).unionByName(defs).distinct()
-        return self.score_leaves(old.unionByName(more), all_defs, k)
+        return self.score_leaves(old.unionByName(more), all_defs, k, any(r[1] != "term" for r in both[1]))
 
 
 def _flat(n: Node, w: float) -> list[tuple[Node, float]] | None:
@@ -209,7 +210,7 @@ def _flat(n: Node, w: float) -> list[tuple[Node, float]] | None:
     return None
 
 
-def node_counts(index: Index, definitions: DataFrame) -> DataFrame:
+def node_counts(index: Index, definitions: DataFrame, windows: bool = True) -> DataFrame:
     """(leaf, docid, tf, length) of terms and windows, all leaves at once.
 
     ``definitions`` has a few rows per leaf and is broadcast. Positions are read only if there
@@ -218,7 +219,7 @@ def node_counts(index: Index, definitions: DataFrame) -> DataFrame:
     d = F.broadcast(definitions)
     p = index.postings.join(d, ["part", "term"])
     terms = p.where(F.col("form") == "term").select("leaf", "docid", F.col("tf").cast("bigint").alias("tf"), "length")
-    if definitions.where(F.col("form") != "term").isEmpty():
+    if not windows:
         return terms
     g = p.where(F.col("form") != "term").groupBy("leaf", "docid", "form", "width", "children", "length")
     g = g.agg(F.sort_array(F.collect_list(F.struct("child", "positions"))).alias("c")).where(F.size("c") == F.col("children"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scriptorium.operators.index import Index, build, tag_extents, tokenized, typed_fields
+from scriptorium.operators.index import Index, build_from, tag_extents, typed_fields
 from scriptorium.operators.retrieval import Engine
 from scriptorium.session import durable, load
 
@@ -16,7 +16,7 @@ def engine(spark, d) -> Engine:
     key = (spark.sparkContext.applicationId, d)
     if key not in _KEPT:
         docs = load(spark, d, "documents")
-        i = build(tokenized(docs, name="name"))
+        i = build_from(docs, name="name")
         fields = typed_fields(docs.select("doc_id", "n_chars", "lang", "crawled_at"), {"n_chars": "long", "lang": "string", "crawled_at": "date"})
         lengths = durable(i.lengths, "lengths")
         i = Index(durable(i.postings.repartitionByRange("term").sortWithinPartitions("term"), "postings"), lengths, durable(i.names, "names"), durable(tag_extents(docs), "extents"), fields)

@@ -23,7 +23,7 @@ def tokenize_terms(spark, d):
 
 @query("term_stats", f"WITH {TOKENS} SELECT term, CAST(cf AS BIGINT) AS cf, df, max_tf FROM stat")
 def term_stats(spark, d):
-    return I.build(_docs(spark, d)).term_stats().select("term", "cf", "df", "max_tf")
+    return I.build_from(load(spark, d, "documents"), name="name").term_stats().select("term", "cf", "df", "max_tf")
 
 
 @query(
@@ -32,12 +32,12 @@ def term_stats(spark, d):
   CAST(max(dl) AS INTEGER) AS max_length, CAST(min(dl) AS INTEGER) AS min_length, round(avg(dl), 6) AS avg_length FROM len""",
 )
 def field_stats(spark, d):
-    return I.build(_docs(spark, d)).field_stats().drop("field").withColumn("avg_length", F.round("avg_length", 6))
+    return I.build_from(load(spark, d, "documents"), name="name").field_stats().drop("field").withColumn("avg_length", F.round("avg_length", 6))
 
 
 @query("postings_positions", f"WITH {TOKENS} SELECT docid, term, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ' ' ORDER BY pos) AS positions FROM tok GROUP BY docid, term")
 def postings_positions(spark, d):
-    return I.build(_docs(spark, d)).postings.select("docid", "term", "tf", F.array_join("positions", " ").alias("positions"))
+    return I.build_from(load(spark, d, "documents"), name="name").postings.select("docid", "term", "tf", F.array_join("positions", " ").alias("positions"))
 
 
 @query("count_postings", f"WITH {TOKENS} SELECT docid, term, tf FROM post")

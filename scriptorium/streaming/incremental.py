@@ -14,7 +14,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.operators.index import TABLES, Index, build, merge, tokenized
+from scriptorium.operators.index import TABLES, Index, build, build_from, merge, tokenized
 
 
 class GrowingIndex:
@@ -67,7 +67,7 @@ class GrowingIndex:
         name = f"b{number:010d}"
         if any(name in s.get("from", [s["name"]]) for s in known):
             return  # the stream runs a batch again that is already in
-        build(tokenized(documents, self.docid, self.text)).save(f"{self.path}/{name}")
+        build_from(documents, self.docid, self.text).save(f"{self.path}/{name}")
         self._publish([*known, {"name": name, "generation": 0, "from": [name]}])
         self.compact()
 
