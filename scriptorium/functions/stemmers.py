@@ -129,6 +129,58 @@ def german(word: str) -> str:
     return w.lower().translate(str.maketrans("äöü", "aou"))
 
 
+#: Endings of the northern languages: those removed first, consonants an s may follow, pairs that
+#: lose their last letter, and suffixes removed last. Fixed values.
+_NORTHERN = {
+    "swedish": (
+        "a arna erna heterna orna ad e ade ande arne are aste en anden aren heten ern ar er heter or as arnas ernas ornas es ades andes ens arens hetens erns at andet het ast",
+        "bcdfghjklmnoprtvy", "dd gd nn dt gt kt tt", "lig ig els", {"löst": "lös", "fullt": "full"}, "aeiouyäåö",
+    ),
+    "danish": (
+        "hed ethed ered e erede ende erende ene erne ere en heden eren er heder erer heds es endes erendes enes ernes eres ens hedens erens ers ets erets et eret",
+        "abcdfghjklmnoprtvyzå", "gd dt gt kt", "ig lig elig els", {"løst": "løs"}, "aeiouyæåø",
+    ),
+    "norwegian": (
+        "a e ede ande ende ane ene hetene en heten ar er heter as es edes endes enes hetenes ens hetens ers ets et het ast",
+        "bcdfghjlmnoprtvyz", "dt vt", "leg eleg ig eig lig elig els lov elov slov hetslov", {}, "aeiouyæåø",
+    ),
+}
+
+
+def _northern(language: str) -> Callable[[str], str]:
+    first, s_after, pairs, last, changed, vowels = _NORTHERN[language]
+    by_length = lambda x: sorted(x.split(), key=len, reverse=True)
+    first, last, pairs = by_length(first), by_length(last), tuple(pairs.split())
+
+    def stem(w: str) -> str:
+        m = re.search(rf"[{vowels}][^{vowels}]", w)
+        r1 = max(3, m.end()) if m else len(w)
+        end = next((e for e in first if w.endswith(e) and len(w) - len(e) >= r1), None)
+        if language == "norwegian" and w.endswith(("erte", "ert")) and len(w) - (4 if w.endswith("e") else 3) >= r1:
+            w = w[: -2 if w.endswith("e") else -1]
+        elif end:
+            w = w[: -len(end)]
+        elif len(w) > 1 and w.endswith("s") and len(w) - 1 >= r1 and (w[-2] in s_after or (language == "norwegian" and w[-2] == "k" and w[-3:-2] not in vowels)):
+            w = w[:-1]
+        if w.endswith(pairs) and len(w) - 2 >= r1:
+            w = w[:-1]
+        if language == "danish" and w.endswith("igst"):
+            w = w[:-2]
+        for old, new in changed.items():
+            if w.endswith(old) and len(w) - len(old) >= r1:
+                return w[: -len(old)] + new
+        end = next((e for e in last if w.endswith(e) and len(w) - len(e) >= r1), None)
+        if end:
+            w = w[: -len(end)]
+            if language == "danish" and w.endswith(pairs) and len(w) - 2 >= r1:
+                w = w[:-1]
+        if language == "danish" and len(w) > 2 and w[-1] == w[-2] and w[-1] not in vowels and len(w) - 1 >= r1:
+            w = w[:-1]
+        return w
+
+    return stem
+
+
 def plural(word: str) -> str:
     """Only English plurals are undone."""
     if len(word) > 4 and word.endswith("ies"):
@@ -141,7 +193,7 @@ def plural(word: str) -> str:
 
 
 #: Stemmer by name; users add their own with ``STEMMERS[name] = function``.
-STEMMERS: dict[str, Callable[[str], str]] = {"none": lambda w: w, "porter2": english, "english": english, "german": german, "plural": plural}
+STEMMERS: dict[str, Callable[[str], str]] = {"none": lambda w: w, "porter2": english, "english": english, "german": german, "plural": plural, **{k: _northern(k) for k in _NORTHERN}}
 
 
 def stem_key(word: str, stemmer: Callable[[str], str]) -> str:

@@ -120,11 +120,11 @@ class Engine:
                 one = top_k(self.trees.scored(self.plan(q, **params)), k).select(F.lit(str(qid)).alias("qid"), "docid", "score", "rank")
                 out = one if out is None else out.unionByName(one)
             return out
-        return self.score_leaves(spark.createDataFrame(both[0], _LEAF), spark.createDataFrame(both[1], _DEFINITION), k, any(r[1] != "term" for r in both[1]))
+        return self.score_leaves(spark.createDataFrame(both[0], _LEAF), spark.createDataFrame(both[1], _DEFINITION), k, any(r[1] != "term" for r in both[1]), sorted({(r[3], r[6]) for r in both[1]}))
 
-    def score_leaves(self, leaves: DataFrame, definitions: DataFrame, k: int, windows: bool = True) -> DataFrame:
+    def score_leaves(self, leaves: DataFrame, definitions: DataFrame, k: int, windows: bool = True, known: list[tuple[str, str]] | None = None) -> DataFrame:
         c = self.trees.collection()
-        counts = node_counts(self.index, definitions, windows)
+        counts = node_counts(self.index, definitions, windows, known)
         # one row per leaf of the query set, whatever the size of the collection
         stats = counts.groupBy("leaf").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
         full = leaves.join(stats, "leaf", "left").fillna({"cf": 0, "df": 0})
@@ -210,14 +210,22 @@ def _flat(n: Node, w: float) -> list[tuple[Node, float]] | None:
     return None
 
 
-def node_counts(index: Index, definitions: DataFrame, windows: bool = True) -> DataFrame:
+#: Most terms written into a scan's filter; beyond, the join alone picks the postings.
+SCAN_TERMS = 5000
+
+
+def node_counts(index: Index, definitions: DataFrame, windows: bool = True, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """(leaf, docid, tf, length) of terms and windows, all leaves at once.
 
     ``definitions`` has a few rows per leaf and is broadcast. Positions are read only if there
-    are windows.
+    are windows. ``known`` lists the (part, term) pairs, if the driver has them: as a filter of
+    the scan they skip all row groups of postings, sorted by term, that hold none of them.
     """
     d = F.broadcast(definitions)
-    p = index.postings.join(d, ["part", "term"])
+    p = index.postings
+    if known is not None and len(known) <= SCAN_TERMS:
+        p = p.where(F.col("part").isin(sorted({x[0] for x in known})) & F.col("term").isin(sorted({x[1] for x in known})))
+    p = p.join(d, ["part", "term"])
     terms = p.where(F.col("form") == "term").select("leaf", "docid", F.col("tf").cast("bigint").alias("tf"), "length")
     if not windows:
         return terms

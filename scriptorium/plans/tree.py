@@ -40,6 +40,23 @@ def leaf_of(n: Node) -> Leaf:
     return Leaf("extents", part, name) if part == "extents" else Leaf("postings", part, name)
 
 
+def _leaves(trees: list[Node]) -> set[Leaf]:
+    """All leaves, with the tags whose lengths scorers ask for."""
+    own = {leaf_of(n) for t in trees for n in walk(t) if n.op in ("text", "counts", "extents")}
+    return own | {Leaf("extents", "extents", str(n.get("lengths"))) for t in trees for n in walk(t) if n.get("lengths")}
+
+
+def _tags_drive(trees: list[Node]) -> bool:
+    """Can a document match by a tag alone?"""
+
+    def drives(n: Node) -> bool:
+        if n.op in ("text", "counts", "extents"):
+            return leaf_of(n).table == "extents"
+        return any(drives(c) for c in (n.children[:1] if n.op == "inside" else n.children))
+
+    return any(drives(t) for t in trees)
+
+
 @dataclass
 class CollectionStats:
     documents: int
@@ -95,7 +112,7 @@ class TreePlan:
     def _grouped(self, trees: list[Node]) -> DataFrame:
         """(docid, m map<leaf, extents>, dl) of documents with any leaf; dl is null where only
         tags are found."""
-        leaves = {leaf_of(n) for t in trees for n in walk(t) if n.op in ("text", "counts", "extents")}
+        leaves = _leaves(trees)
         post = [x for x in leaves if x.table == "postings"]
         tags = sorted({x.term for x in leaves if x.table == "extents"})
         parts = []
@@ -109,7 +126,10 @@ class TreePlan:
         if tags:
             if self.index.extents is None:
                 raise QueryError("the index has no extents")
-            e = self.index.extents.where(F.col("name").isin(tags)).groupBy("docid", "name")
+            e = self.index.extents.where(F.col("name").isin(tags))
+            if parts and not _tags_drive(trees):  # tags only restrict terms or give lengths
+                e = e.join(parts[0].select("docid").distinct(), "docid", "left_semi")
+            e = e.groupBy("docid", "name")
             e = e.agg(F.array_sort(F.collect_list(F.struct(F.col("begin").cast("int").alias("begin"), F.col("end").cast("int").alias("end")))).alias("ext"))
             parts.append(e.select("docid", F.concat(F.lit("extents\t"), F.col("name")).alias("key"), "ext", F.lit(None).cast("int").alias("dl")))
         u = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -119,7 +139,7 @@ class TreePlan:
         """The rows the tree is evaluated over, with length, typed fields and side values."""
         every = any(n.op in _ALL_DOCUMENTS for n in walk(tree))
         r = self._grouped([tree])
-        if every or any(leaf_of(n).table == "extents" for n in walk(tree) if n.op in ("text", "counts", "extents")):
+        if every or any(x.table == "extents" for x in _leaves([tree])) and _tags_drive([tree]):
             # otherwise the postings know the length, and no table of all documents is touched
             d = self.index.lengths.where(F.col("field") == "document").select("docid", F.col("length").alias("dl"))
             r = d.join(r.drop("dl"), "docid", "left" if every else "inner")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from scriptorium.operators.index import Index, build_from, tag_extents, typed_fields
+from scriptorium.operators.index import Index, build_from, field_postings, tag_extents, typed_fields
 from scriptorium.operators.retrieval import Engine
 from scriptorium.session import durable, load
 
@@ -25,5 +27,17 @@ def engine(spark, d) -> Engine:
     return _KEPT[key]
 
 
+def field_engine(spark, d) -> Engine:
+    """The same with the postings of the fields ``title`` and ``text`` beside."""
+    key = (spark.sparkContext.applicationId, d, "fields")
+    if key not in _KEPT:
+        i = engine(spark, d).index
+        p = i.postings
+        for f in ("title", "text"):
+            p = p.unionByName(field_postings(i, f))
+        _KEPT[key] = Engine(replace(i, postings=durable(p, "postings")))
+    return _KEPT[key]
+
+
 def rounded(df, *columns):
     return df.withColumns({c: F.round(c, 6) for c in columns})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scriptorium.queries.common import engine, rounded
+from scriptorium.queries.common import engine, field_engine, rounded
 from scriptorium.queries.registry import TOKENS, query
 
 #: A small batch of queries; words of middle and high frequency, one that never occurs.
@@ -373,3 +373,78 @@ SELECT qid, docid, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM
 )
 def rm3_topk(spark, d):
     return rounded(engine(spark, d).search_feedback(_TWO, 10, 10, 10), "score")
+
+
+# --- fields of documents -----------------------------------------------------------------------
+
+_FIELDS = f"""WITH {TOKENS}, ext AS (SELECT DISTINCT lower(t.name) AS f, doc_id AS docid, t.tok_begin AS b, t.tok_end AS e FROM (SELECT doc_id, unnest(tags) AS t FROM documents) WHERE lower(t.name) IN ('title', 'text') AND t.tok_end > t.tok_begin),
+fl AS (SELECT f, docid, sum(e - b) AS dl FROM ext GROUP BY f, docid), fc AS (SELECT f, sum(dl) AS c, sum(dl) * 1.0 / max(col.n) AS avgdl FROM fl, col GROUP BY f),
+fp AS (SELECT f, tok.docid, term, count(DISTINCT pos) AS tf FROM tok JOIN ext ON ext.docid = tok.docid AND b <= pos AND pos < e WHERE term IN ('harvest', 'market') GROUP BY ALL),
+fst AS (SELECT f, term, sum(tf) AS cf FROM fp GROUP BY f, term),
+w AS (SELECT * FROM (VALUES ('harvest'), ('market')) AS q(term)), ff AS (SELECT * FROM (VALUES ('title'), ('text')) AS q(f))"""
+_FTAIL = " SELECT docid, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, docid) AS rank FROM s) WHERE rank <= 10"
+
+
+@query(
+    "bm25f_topk",
+    f"""{_FIELDS}, cand AS (SELECT docid FROM fp UNION SELECT docid FROM post WHERE term IN ('harvest', 'market')),
+t AS (SELECT cand.docid, w.term, sum(0.5 * coalesce(tf, 0) / (1.0 + 0.5 * (coalesce(fl.dl, 0) / fc.avgdl - 1.0))) AS x FROM cand, w, ff JOIN fc USING (f)
+  LEFT JOIN fp ON fp.docid = cand.docid AND fp.term = w.term AND fp.f = ff.f LEFT JOIN fl ON fl.docid = cand.docid AND fl.f = ff.f GROUP BY ALL),
+s AS (SELECT docid, sum(x / (0.5 + x) * ln(n / (df + 0.5))) AS score FROM t JOIN stat USING (term), col GROUP BY docid){_FTAIL}""",
+)
+def bm25f_topk(spark, d):
+    e = field_engine(spark, d)
+    return rounded(e.search("#bm25f:fields=@/title,text/( harvest market )", 10).select("docid", "score", "rank"), "score")
+
+
+@query(
+    "mlm_topk",
+    f"""{_FIELDS}, cand AS (SELECT DISTINCT docid FROM fp),
+t AS (SELECT cand.docid, w.term, ln(sum(0.5 * (coalesce(tf, 0) + 1500.0 * (CASE WHEN coalesce(fst.cf, 0) > 0 THEN fst.cf / fc.c ELSE 0.5 / fc.c END)) / (coalesce(fl.dl, 0) + 1500.0))) AS x
+  FROM cand, w, ff JOIN fc USING (f) LEFT JOIN fst ON fst.f = ff.f AND fst.term = w.term
+  LEFT JOIN fp ON fp.docid = cand.docid AND fp.term = w.term AND fp.f = ff.f LEFT JOIN fl ON fl.docid = cand.docid AND fl.f = ff.f GROUP BY ALL),
+s AS (SELECT docid, sum(x) AS score FROM t GROUP BY docid){_FTAIL}""",
+)
+def mlm_topk(spark, d):
+    e = field_engine(spark, d)
+    return rounded(e.search("#mlm:fields=@/title,text/( harvest market )", 10).select("docid", "score", "rank"), "score")
+
+
+@query("prms_topk")
+def prms_topk(spark, d):
+    e = field_engine(spark, d)
+    return rounded(e.search("#prms:fields=@/title,text/( harvest market )", 10).select("docid", "score", "rank"), "score")
+
+
+@query("pl2f_topk")
+def pl2f_topk(spark, d):
+    e = field_engine(spark, d)
+    return rounded(e.search("#pl2f:fields=@/title,text/( harvest market )", 10).select("docid", "score", "rank"), "score")
+
+
+@query("fieldedsdm_topk")
+def fieldedsdm_topk(spark, d):
+    e = field_engine(spark, d)
+    return rounded(e.search("#fieldedsdm:fields=@/title,text/( harvest market )", 10).select("docid", "score", "rank"), "score")
+
+
+@query("fdm_wsdm_pdfr")
+def fdm_wsdm_pdfr(spark, d):
+    """Three expansions of one query as one batch."""
+    e = engine(spark, d)
+    return rounded(e.search_batch({"fdm": "#fdm( the market harvest )", "wsdm": "#wsdm( the market harvest )", "pdfr": "#pdfr( the market harvest )"}, 10), "score")
+
+
+@query("explained_topk")
+def explained_topk(spark, d):
+    r = engine(spark, d).search("#sdm( market harvest )", 5, explain=True)
+    x = r.select("docid", "rank", F.explode("leaves").alias("leaf"))
+    return x.select("docid", "rank", "leaf.node", F.col("leaf.tf").cast("bigint").alias("tf"), F.round("leaf.score", 6).alias("score"))
+
+
+@query("extent_passages")
+def extent_passages(spark, d):
+    e = engine(spark, d)
+    from scriptorium.operators.retrieval import top_k
+
+    return rounded(top_k(e.trees.extent_passages(e.plan("market harvest"), "li", 2, 1), 10, extra=("begin",)), "score")
