@@ -41,6 +41,14 @@ def frequent_windows(documents: DataFrame, n: int = 2, width: int = 1, least: in
     return w.withColumn("h", F.xxhash64("feature")).join(keep, "h", "left_semi").drop("h")
 
 
+def window_postings(w: DataFrame, lengths: DataFrame, part: str) -> DataFrame:
+    """Windows as postings of a part of their own; a position is a window's begin. Queries use
+    them instead of the terms' postings where the engine's ``windowParts`` names the part."""
+    g = w.groupBy("docid", F.col("feature").alias("term")).agg(F.sort_array(F.collect_list("begin")).alias("positions"))
+    n = lengths.where(F.col("field") == "document").select("docid", "length")
+    return g.join(n, "docid").select(F.lit(part).alias("part"), "term", "docid", F.size("positions").cast("bigint").alias("tf"), "positions", "length")
+
+
 def sketch(w: DataFrame, rows: int = 3, columns: int = 1 << 20) -> DataFrame:
     """(row, cell, n): counts of hashed features, one table of fixed size whatever the data."""
     cells = F.explode(F.array(*[F.struct(F.lit(r).alias("row"), F.pmod(F.xxhash64(F.lit(r), "feature"), F.lit(columns)).alias("cell")) for r in range(rows)])).alias("c")

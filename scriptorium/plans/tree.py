@@ -16,7 +16,7 @@ from scriptorium.functions import scoring as S
 from scriptorium.functions import windows as W
 from scriptorium.operators.index import Index
 from scriptorium.plans.query import Node, QueryError, walk, weights_of
-from scriptorium.plans.rewrites import COUNTS, MIXED, SCORERS, kind
+from scriptorium.plans.rewrites import COUNTS, CUSTOM, MIXED, SCORERS, kind
 
 _COMPARE = ("greater", "less", "between", "equals")
 #: Operators that can hold for documents without any leaf of the query.
@@ -160,6 +160,8 @@ class TreePlan:
     # --- expressions ------------------------------------------------------------------------
 
     def extents(self, n: Node, x: _Context) -> Column:
+        if n.op in CUSTOM and CUSTOM[n.op][0] == "extents":
+            return CUSTOM[n.op][1](self, n, x)
         if n.op in ("text", "counts", "extents"):
             return x.clipped(W.some(F.col("m")[leaf_of(n).key]))
         c = [self.extents(k, x) for k in n.children if kind(k) == "counts"]
@@ -182,6 +184,8 @@ class TreePlan:
         raise QueryError(f"#{n.op} has no extents")
 
     def count(self, n: Node, x: _Context) -> Column:
+        if n.op in CUSTOM and CUSTOM[n.op][0] == "counts":
+            return CUSTOM[n.op][1](self, n, x)
         if n.op == "mincount":
             c = [self.count(k, x) for k in n.children]
             return F.least(*c) if len(c) > 1 else c[0]
@@ -192,7 +196,9 @@ class TreePlan:
         return F.size(self.extents(n, x))
 
     def condition(self, n: Node, x: _Context) -> Column:
-        if n.op in COUNTS:
+        if n.op in CUSTOM and CUSTOM[n.op][0] == "bool":
+            return CUSTOM[n.op][1](self, n, x)
+        if n.op in COUNTS or (n.op in CUSTOM and kind(n) == "counts"):
             return self.count(n, x) > 0
         if n.op in ("all", "any"):
             c = [self.condition(k, x) for k in n.children]
@@ -239,6 +245,8 @@ class TreePlan:
         return each(lambda c, a: (c > a[0]) & (c < a[1]))  # both ends excluded
 
     def score(self, n: Node, x: _Context) -> Column:
+        if n.op in CUSTOM and CUSTOM[n.op][0] == "score":
+            return CUSTOM[n.op][1](self, n, x)
         p = n.p
         if n.op in SCORERS:
             return self._scorer(n, x)
@@ -300,7 +308,7 @@ class TreePlan:
 
     def matches(self, n: Node, x: _Context) -> Column:
         """Does the node have a document as a candidate?"""
-        if n.op in COUNTS:
+        if n.op in COUNTS or (n.op in CUSTOM and kind(n) == "counts"):
             return self.count(n, x) > 0
         if n.op in SCORERS:
             return self.matches(n.children[0], x)

@@ -43,7 +43,7 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local master may go without that setting: it then gets a temporary folder,
     since its one process is the whole cluster. Elsewhere a missing setting is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base.rstrip("/")
     known = _LOCAL.get(id(spark.sparkContext))

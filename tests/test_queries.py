@@ -1,18 +1,9 @@
 """Every registered query against its SQL; those without SQL must run."""
 
-import importlib
-
 import pytest
 from oracle import compare
 
-QUERIES, ORACLES = {}, {}
-for name in ("scriptorium.queries", "scriptorium.llm.queries"):
-    if name.startswith("scriptorium.llm"):
-        continue
-    m = importlib.import_module(name)
-    QUERIES |= m.QUERIES
-    ORACLES |= m.ORACLES
-
+from scriptorium.queries import ORACLES, QUERIES
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equals_sql(spark, data, name):

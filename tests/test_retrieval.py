@@ -186,3 +186,52 @@ def test_groups_and_background_statistics(spark):
     g.engines["all"] = whole
     assert all(all_scores[d] == s for d, s in got(g.search("x", "a b", statistics_of="all")))
     assert got(g.search("x", "a b", scorer="bm25")) != got(g.search("x", "a b", statistics_of="all", scorer="bm25"))
+
+
+def test_stored_windows_and_fields(spark):
+    from dataclasses import replace
+
+    from scriptorium.operators.index import field_postings
+    from scriptorium.operators.ngrams import window_postings, windows
+
+    docs = spark.createDataFrame([(1, "a b a b"), (2, "b a c"), (3, "a c b")], "doc_id bigint, text string")
+    t = tokenized(docs)
+    i = replace(build(t), extents=spark.createDataFrame([("title", 1, 0, 2), ("title", 3, 2, 3)], "name string, docid bigint, begin int, end int"))
+    p = i.postings.unionByName(window_postings(windows(t), i.lengths, "od1")).unionByName(field_postings(i, "title"))
+    plain, ready = Engine(i), Engine(replace(i, postings=p), windowParts={"ordered:1:2": "od1"}, fieldParts=["title"])
+    for q in ("#od:1( a b )", "#combine( a.title b )", "#sdm( a b )"):
+        assert got(ready.search(q)) == got(plain.search(q))
+    assert "part=od1" in str(ready.plan("#od:1( a b )")) and "part=field.title" in str(ready.plan("a.title"))
+    e = Engine(replace(i, postings=p))
+    assert e.search("#fieldrm:fields=title( a b )").count() == 2
+
+
+def test_operators_of_users(engine):
+    from scriptorium.plans import rewrites as R
+
+    @R.operator("twice", "counts")
+    def twice(plan, n, x):
+        return plan.count(n.children[0], x) * 2
+
+    @R.operator("first", "extents")
+    def first(plan, n, x):
+        return F.slice(plan.extents(n.children[0], x), 1, 1)
+
+    @R.operator("long", "bool")
+    def long(plan, n, x):
+        return x.length > int(n.get("default"))
+
+    @R.operator("half", "score")
+    def half(plan, n, x):
+        return plan.score(n.children[0], x) / 2
+
+    try:
+        assert engine.node_statistics("#twice( a )") == (10, 3, 6)
+        assert engine.node_statistics("#first( a )") == (3, 3, 1)
+        assert ids(engine.boolean("#all( a #long:50() )")) == [1, 3, 5] and ids(engine.boolean("#all( a #long:100() )")) == []
+        assert dict(got(engine.search("#half( #bm25( a ) )")))[5] == pytest.approx(dict(got(engine.search("#bm25( a )")))[5] / 2, abs=2e-6)
+        with pytest.raises(ValueError):
+            R.operator("x", "nothing")
+    finally:
+        for k in ("twice", "first", "long", "half"):
+            R.CUSTOM.pop(k, None)
