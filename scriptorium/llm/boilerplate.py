@@ -36,7 +36,7 @@ WEIGHT = 5.0
 #: Distinct page bodies below which a class is not looked at.
 LEAST = 3
 #: Most template roles that are sent to every worker (8 bytes each); more are joined by a shuffle.
-BROADCAST_ROLES = 1_000_000
+BROADCAST_ROLES = 200_000
 #: Least part of the page bodies expected of a template that must be distinct; copies fall below.
 DISTINCT = 0.6
 _SENTENCE_END = re.compile(r'[.!?]["\'”]?\s+')
