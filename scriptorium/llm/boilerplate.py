@@ -263,8 +263,8 @@ def main_texts(documents: DataFrame) -> DataFrame:
 
 def labelled_lines(documents: DataFrame) -> DataFrame:
     """(text, is_content) of the lines of pages, as the templates label them; blank lines are left
-    out. For fitting weights on a bounded sample of them."""
-    rows, roles = Furniture(documents).with_lines(documents.where(F.col("site").isNotNull() & F.col("text").contains("<")), ["doc_id"])
+    out. All pages take part, with tags or without."""
+    rows, roles = Furniture(documents).with_lines(documents.where(F.col("site").isNotNull() & F.col("text").isNotNull()), ["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

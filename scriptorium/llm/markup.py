@@ -3,7 +3,8 @@
 A text is seen as a row of words and marks. Words score positive and tags negative, with
 weights fitted on pages whose lines are labelled; one linear scan finds the contiguous region
 with the highest sum. That region is converted: headings, lists, code blocks and formulas stay
-visible as plain text. Texts without tags are one region from end to end.
+visible as plain text. Tags of such structure score nothing, so that it stays whole. Texts
+without tags, and records that are no page, are one region from end to end.
 """
 
 from __future__ import annotations
@@ -85,11 +86,13 @@ def kinds(text: str | None) -> list[str]:
 
 _TAG_OR_WORD = re.compile(rf"({TAG})|[^\W_]+", re.I)
 _TAG_NAME = re.compile(r"</?([A-Za-z0-9]+)")
-#: Elements that stand within a line of text, and those of links and lists. Fixed values.
+#: Elements that stand within a line of text, those of links and menus, and those of structure
+#: that main text has too. Fixed values.
 _INLINE = frozenset("b i u em strong span sub sup code small font mark q s br tt abbr cite var".split())
-_LISTED = frozenset("a li ul ol nav td aside footer".split())
-#: Score of a word and of the classes of tags before any fit.
-DEFAULT_WEIGHTS = {"word": 1.0, "inline": -0.5, "block": -1.5, "listed": -3.0}
+_LISTED = frozenset("a nav aside footer".split())
+_STRUCTURE = frozenset("h1 h2 h3 h4 h5 h6 p ul ol li dl dt dd table caption colgroup col thead tbody tfoot tr th td pre blockquote figure figcaption hr".split())
+#: Score of a word and of the classes of tags before any fit; structure is never fitted.
+DEFAULT_WEIGHTS = {"word": 1.0, "inline": -0.5, "block": -1.5, "listed": -3.0, "structure": 0.0}
 
 
 def classes(text: str) -> list[tuple[str, int, int]]:
@@ -101,61 +104,65 @@ def classes(text: str) -> list[tuple[str, int, int]]:
         else:
             n = _TAG_NAME.match(m[1])
             name = n[1].lower() if n else ""
-            out.append(("inline" if name in _INLINE else "listed" if name in _LISTED else "block", m.start(), m.end()))
+            out.append(("inline" if name in _INLINE else "listed" if name in _LISTED else "structure" if name in _STRUCTURE else "block", m.start(), m.end()))
     return out
 
 
 def best_region(text: str, weights: dict[str, float]) -> tuple[int, int]:
-    """Begin and end of the contiguous region with the highest sum of scores; of several, the
-    first and longest. Nothing scores: the whole text."""
+    """Begin and end of the contiguous region with the highest sum of scores, in whole lines; of
+    several, the first and shortest, with the structural tags that open before and close after
+    it. Nothing scores: the whole text."""
     best = total = 0.0
-    start, found = 0, (0, len(text))
+    items = classes(text)
+    first, last = 0, -1
     begin_at = 0
-    fresh = True
-    for kind, a, b in classes(text):
-        if fresh:
-            begin_at, fresh = a, False
+    for k, (kind, _, _) in enumerate(items):
+        if total <= 0.0:
+            total, begin_at = 0.0, k
         total += weights[kind]
         if total > best:
-            best, found, start = total, (begin_at, b), begin_at
-        elif total < 0.0:
-            total, fresh = 0.0, True
+            best, first, last = total, begin_at, k
     if best <= 0.0:
         return 0, len(text)
-    a, b = found
-    a = text.rfind("\n", 0, start) + 1  # whole lines
-    e = text.find("\n", b)
-    return a, len(text) if e < 0 else e
+    while first and items[first - 1][0] == "structure" and text[items[first - 1][1] + 1] != "/":
+        first -= 1
+    while last + 1 < len(items) and items[last + 1][0] == "structure" and text[items[last + 1][1] + 1] == "/":
+        last += 1
+    e = text.find("\n", items[last][2])
+    return text.rfind("\n", 0, items[first][1]) + 1, len(text) if e < 0 else e
 
 
 def fit_weights(lines: DataFrame) -> dict[str, float]:
-    """Weights from labelled lines (text, is_content): the log of how much more often a class
-    stands in content than outside, relative to that of words.
+    """Weights from labelled lines (text, is_content): how far a class stands in content more
+    often than outside, as a share of its occurrences, relative to that of words. So a region
+    gives up words of content only against as much that is none; a class that stands in content
+    for the most part costs nothing.
 
     All lines count; each batch adds up its own classes, so only a few sums are moved. Without
     lines of both labels the defaults stay.
     """
-    order = list(DEFAULT_WEIGHTS)
+    order = [k for k in DEFAULT_WEIGHTS if k != "structure"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = {k: dict.fromkeys(order, 0) for k in (True, False)}
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for kind, _, _ in classes(text or ""):
-                    n[bool(label)][kind] += 1
+                    if kind != "structure":
+                        n[bool(label)][kind] += 1
             rows = [(k, c, n[k][c]) for k in n for c in order]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.int64())], names=["label", "class", "n"])
 
-    counted = arrow_map(lines.select("text", "is_content").where(F.col("text").contains("<")), run, "label boolean, class string, n bigint")
+    counted = arrow_map(lines.select("text", "is_content"), run, "label boolean, class string, n bigint")
     n = {True: dict.fromkeys(order, 1.0), False: dict.fromkeys(order, 1.0)}
     for r in counted.groupBy("label", "class").agg(F.sum("n").alias("n")).collect():  # eight sums
         n[r["label"]][r["class"]] += r["n"]
     inside, outside = sum(n[True].values()), sum(n[False].values())
     if min(inside, outside) <= 4.0:
         return dict(DEFAULT_WEIGHTS)
-    w = {k: float(np.log((n[True][k] / inside) / (n[False][k] / outside))) for k in order}
+    w = {k: (n[True][k] - n[False][k]) / (n[True][k] + n[False][k]) for k in order}
     scale = max(w["word"], 0.05)
-    return {"word": 1.0} | {k: min(0.0, w[k] / scale) for k in order if k != "word"}
+    return DEFAULT_WEIGHTS | {k: min(0.0, w[k] / scale) for k in order if k != "word"}
 
 
 # --- conversion ---------------------------------------------------------------------------
@@ -288,14 +295,15 @@ def found(documents: DataFrame) -> DataFrame:
 
 def cleaned(documents: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """(doc_id, text, kinds, region_begin, region_end): the clean text of the content region,
-    the kinds of markup of the whole text, and where the region lies in it. A null text has
-    null everywhere but no kinds; an empty one stays empty."""
+    the kinds of markup of the whole text, and where the region lies in it. A record without
+    ``site`` is no page, so its region is the whole text. A null text has null everywhere but no
+    kinds; an empty one stays empty."""
     w = weights or DEFAULT_WEIGHTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            spans = [None if t is None else best_region(t, w) if "<" in t else (0, len(t)) for t in texts]
+            sites, texts = b.column(1).to_pylist(), b.column(2).to_pylist()
+            spans = [None if t is None else best_region(t, w) if p is not None and "<" in t else (0, len(t)) for p, t in zip(sites, texts, strict=True)]
             out = [None if t is None else clean(t[s[0] : s[1]]) for t, s in zip(texts, spans, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(out, pa.string()), pa.array([kinds(t) for t in texts], pa.list_(pa.string())), pa.array([s and s[0] for s in spans], pa.int32()), pa.array([s and s[1] for s in spans], pa.int32())],
@@ -303,4 +311,4 @@ def cleaned(documents: DataFrame, weights: dict[str, float] | None = None) -> Da
             )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return arrow_map(documents.select("doc_id", "text"), run, f"doc_id {kind}, text string, kinds array<string>, region_begin int, region_end int")
+    return arrow_map(documents.select("doc_id", "site", "text"), run, f"doc_id {kind}, text string, kinds array<string>, region_begin int, region_end int")

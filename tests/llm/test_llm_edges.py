@@ -156,6 +156,24 @@ def test_region_drops_menus():
     assert t[a:b].startswith("<p>") and "Next" not in t[a:b]
 
 
+def test_no_word_of_a_record_is_cut(spark):
+    table = "<table>\n" + "\n".join(f"<tr><td>a{i}</td><td>b{i}</td><td><a href=/{i}>c{i}</a></td></tr>" for i in range(30)) + "\n</table>"
+    items = "<ul>\n" + "\n".join(f"<li>d{i}</li>" for i in range(30)) + "\n</ul>"
+    text = f"<h1>Head</h1>\n<p>one two</p>\n{table}\n{items}\n<pre>\ncode\n</pre>"
+    df = spark.createDataFrame([(1, text, None), (2, text.replace("<a href", "<b id").replace("</a>", "</b>"), "a.example")], "doc_id bigint, text string, site string")
+    for r in markup.cleaned(df).collect():
+        assert [m for k, x, y in markup.classes(text) if k == "word" and (m := text[x:y]) not in r["text"]] == []
+        assert r["text"].count("\n- ") == 30 and r["text"].count("```") == 2
+
+
+def test_weights_are_fitted_on_all_lines(spark):
+    rows = [("words without a tag here", True)] * 20 + [("<a href=x>menu</a>", False)] * 20 + [("<b>word</b> and <li>item</li>", True)] * 5
+    w = markup.fit_weights(spark.createDataFrame(rows, "text string, is_content boolean"))
+    assert w["word"] == 1.0 and w["structure"] == 0.0
+    word, menu = (116 - 21) / (116 + 21), (1 - 41) / (1 + 41)  # one of each is added
+    assert w["listed"] == pytest.approx(menu / word) and w["inline"] == 0.0
+
+
 def _pages(spark, n=60):
     rng = random.Random(8)
     words = "the valve river stone quiet mill broad forest letter open field north keeper small harbour".split()
