@@ -101,7 +101,8 @@ def _items(column: pa.Array) -> np.ndarray:
 
 def sets(documents: DataFrame, run_words: int = 3, least_words: int = 20) -> DataFrame:
     """(doc_id, n, digest, items) of each document with enough words; ``items`` are the sorted
-    48-bit hashes, packed. Chance equals among 48 bits only add pairs that the full comparison
+    48-bit hashes, packed. A text of fewer words than a run is one run, filled up with what is no
+    word, so such texts meet if all their words are equal. Chance equals among 48 bits only add pairs that the full comparison
     of two sets, where they don't matter, sorts out."""
     rows, roles = Furniture(documents).with_lines(documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), ["doc_id"])
 
@@ -113,9 +114,9 @@ def sets(documents: DataFrame, run_words: int = 3, least_words: int = 20) -> Dat
                 ids, texts = [], []
                 for d, site, text, marked in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     w = words(clean(main_text(text, site, roles, marked)))
-                    if len(w) >= max(least_words, run_words):
+                    if len(w) >= max(least_words, 1):
                         ids.append(d)
-                        texts.append(w)
+                        texts.append(w + [""] * (run_words - len(w)))
                 items, n = shingle_sets(texts, run_words, known)
                 ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
                 packed = [pack(items[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
@@ -333,8 +334,9 @@ class NearDuplicates:
         y = x.join(needed.select(F.col("doc_id").alias("b"), F.col("items").alias("ys")), "b")
         self.pairs = arrow_map(y.select("a", "b", "xs", "ys"), _similar(t), "a bigint, b bigint, similarity double")
 
-    def groups(self) -> DataFrame:
-        """(doc_id, group_id, links): one row per document; the group is named by its lowest id.
+    def groups(self, documents: DataFrame | None = None) -> DataFrame:
+        """(doc_id, group_id, links): one row per member; the group is named by its lowest id. With
+        ``documents``, one row for each of them: those that are no members stand alone.
 
         Groups are the connected parts of the pairs. Labels sink to the least of their
         neighbours' and then jump to their label's label, so rounds grow with the logarithm of a
@@ -356,7 +358,11 @@ class NearDuplicates:
         size = self.members.groupBy("rep").agg(F.count("*").alias("size"))
         linked = both.join(size.withColumnRenamed("rep", "b"), "b").groupBy("a").agg(F.sum("size").alias("others"))
         x = self.members.join(size, "rep").join(label.withColumnRenamed("a", "rep"), "rep", "left").join(linked.withColumnRenamed("a", "rep"), "rep", "left")
-        return x.select("doc_id", F.coalesce("label", "rep").alias("group_id"), (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("links"))
+        x = x.select("doc_id", F.coalesce("label", "rep").alias("group_id"), (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("links"))
+        if documents is None:
+            return x
+        x = documents.select(F.col("doc_id").cast("bigint").alias("doc_id")).join(x, "doc_id", "left")
+        return x.select("doc_id", F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
     def all_pairs(self) -> DataFrame:
         """(doc_a, doc_b), doc_a < doc_b: the pairs of documents. Their number can be as large

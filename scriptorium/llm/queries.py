@@ -150,8 +150,10 @@ def p10_scores(spark, d):
 
 @query("p3_groups")
 def p3_groups(spark, d):
-    """One row per document: its group at five words and a similarity of 0.8, and its links."""
-    return neardup.NearDuplicates(load(spark, d, "documents"), run_words=5, threshold=0.8).groups()
+    """One row per document: its group at five words and a similarity of 0.8, and its links.
+    Texts under five words meet if equal; those without a word stand alone."""
+    docs = load(spark, d, "documents")
+    return neardup.NearDuplicates(docs, run_words=5, threshold=0.8, least_words=1).groups(docs)
 
 
 @query("p1_clean")

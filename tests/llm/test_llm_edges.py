@@ -50,6 +50,17 @@ def test_copies_are_linked(odd):
     assert {tuple(r) for r in n.groups().collect()} == {(4, 4, 1), (5, 4, 1)}
 
 
+def test_short_copies_are_grouped(spark, tmp_path):
+    from scriptorium.llm.queries import QUERIES
+
+    long = " ".join(f"w{i}" for i in range(30))
+    texts = ["Old mill by the river now", "old mill, by the river now!", "old mill by the river then", "Good morning all", "good morning, all", "good morning", "good morning none", None, "", "...", long, long + "."]
+    rows = [(i, t, None) for i, t in enumerate(texts, 1)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, site string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, QUERIES["p3_groups"](spark, str(tmp_path)).collect()))
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 3, 0), (4, 4, 1), (5, 4, 1), (6, 6, 0), (7, 7, 0), (8, 8, 0), (9, 9, 0), (10, 10, 0), (11, 11, 1), (12, 11, 1)]
+
+
 def test_empty_tables(odd, common, spark):
     none = odd.where("doc_id > 100")
     t = spark.createDataFrame([], "source string, target_share double, max_repeats int")
