@@ -16,6 +16,19 @@ _ROUND = """, r{1} AS (SELECT v.node, (SELECT (0.15 * sum(score) + 0.85 * coales
   + 0.85 * coalesce((SELECT sum(r{0}.score * e0.n / o.out) FROM e0 JOIN o USING (src) JOIN r{0} ON r{0}.node = e0.src WHERE e0.dst = v.node), 0) AS score FROM v)"""
 
 
+_ALL_EDGES = _EDGES.replace(" AND (c.c_nationkey + s.s_nationkey) % 3 = 0", "")
+
+
+@query("pagerank_full", f"WITH {_ALL_EDGES}" + "".join(_ROUND.format(i, i + 1) for i in range(4)) + " SELECT node, round(score, 7) AS score FROM r4")
+def pagerank_full(spark, d):
+    """Page rank over all links; ``pagerank_k`` takes a third of them."""
+    t = lambda n: load(spark, d, n)
+    e = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    e = e.groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(F.count("*").alias("n"))
+    v = t("nation").select(F.col("n_nationkey").alias("node"))
+    return L.pagerank(e, v, 0.15, 0.0, 4).select("node", F.round("score", 7).alias("score"))
+
+
 @query("pagerank_k", f"WITH {_EDGES}" + "".join(_ROUND.format(i, i + 1) for i in range(4)) + " SELECT node, round(score, 7) AS score FROM r4")
 def pagerank_k(spark, d):
     t = lambda n: load(spark, d, n)

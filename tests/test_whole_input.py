@@ -1,0 +1,27 @@
+"""Queries that take the whole input, where a twin of theirs takes a part or a fixed size."""
+
+from collections import Counter
+
+import pytest
+from oracle import connect
+
+from scriptorium.queries import QUERIES
+
+
+def test_page_rank_of_all_links(spark, data):
+    sql = "SELECT c_nationkey, s_nationkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey"
+    links = Counter(x for x in connect(data).execute(sql).fetchall() if x[0] != x[1])
+    nodes = [r[0] for r in connect(data).execute("SELECT n_nationkey FROM nation").fetchall()]
+    out = Counter()
+    for (a, _), n in links.items():
+        out[a] += n
+    score = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(4):
+        lost = sum(s for v, s in score.items() if not out[v])
+        new = dict.fromkeys(nodes, (0.15 + 0.85 * lost) / len(nodes))
+        for (a, b), n in links.items():
+            new[b] += 0.85 * score[a] * n / out[a]
+        score = new
+    assert {r["node"]: r["score"] for r in QUERIES["pagerank_full"](spark, data).collect()} == pytest.approx(score, abs=1e-6)
+
+
