@@ -25,3 +25,10 @@ def test_page_rank_of_all_links(spark, data):
     assert {r["node"]: r["score"] for r in QUERIES["pagerank_full"](spark, data).collect()} == pytest.approx(score, abs=1e-6)
 
 
+@pytest.mark.parametrize(("size", "missed"), [(10_000, 1.0), (100_000, 0.0)])
+def test_alarm_rate_of_the_real_size(spark, tmp_path, size, missed):
+    spark.createDataFrame([("q", d, -float(d)) for d in (1, 2, 3)], "qid string, document bigint, score double").write.parquet(f"{tmp_path}/scored_documents.parquet")
+    spark.createDataFrame([("q", 0, "DOC3", 1)], "qid string, iter_no int, docno string, grade int").write.parquet(f"{tmp_path}/qrels.parquet")
+    twice = spark.range(size).withColumnRenamed("id", "docid")
+    twice.unionAll(twice).write.parquet(f"{tmp_path}/lengths.parquet")
+    assert [tuple(r) for r in QUERIES["eval_mdfa_sized"](spark, str(tmp_path)).collect()] == [("q", missed)]
