@@ -128,6 +128,12 @@ def vocab_edit_distance(spark, d):
     return N.close_pairs(v, 1)
 
 
+@query("vocab_close_pairs")
+def vocab_close_pairs(spark, d):
+    """All pairs of the whole vocabulary; ``vocab_edit_distance`` takes a part of it."""
+    return N.close_pairs(I.build_from(load(spark, d, "documents"), name="name").term_stats(), 1)
+
+
 @query("url_scrub", "SELECT doc_id, regexp_replace(regexp_replace(lower(trim(metadata['url'])), '#$', ''), '/$', '') AS url FROM documents WHERE metadata['url'] IS NOT NULL")
 def url_scrub(spark, d):
     return load(spark, d, "documents").select("doc_id", scrub_url(F.col("metadata")["url"]).alias("url")).where(F.col("url").isNotNull())

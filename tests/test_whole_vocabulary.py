@@ -1,0 +1,24 @@
+"""Close pairs of the whole vocabulary, also rare, short and long terms, by brute force."""
+
+from oracle import connect
+
+from scriptorium.queries import QUERIES
+from scriptorium.queries.registry import TOKENS
+
+
+def test_pairs_of_all_terms(spark, data):
+    terms = [r[0] for r in connect(data).execute(f"WITH {TOKENS} SELECT term FROM stat").fetchall()]
+    within = lambda t: {t[:i] + t[i + 1 :] for i in range(len(t))}
+    known, want = set(terms), set()
+    holes: dict = {}
+    for t in terms:
+        want |= {(min(t, x), max(t, x)) for x in within(t) if x in known}
+        for i in range(len(t)):
+            holes.setdefault((i, t[:i], t[i + 1 :]), []).append(t)
+    for same in holes.values():
+        want |= {(a, b) for a in same for b in same if a < b}
+    got = QUERIES["vocab_close_pairs"](spark, data).collect()
+    assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
+    assert {r["distance"] for r in got} == {1}
+    cut = {(r["a"], r["b"]) for r in QUERIES["vocab_edit_distance"](spark, data).collect()}
+    assert cut < want and any(min(len(a), len(b)) < 4 for a, b in want)
