@@ -233,6 +233,13 @@ def test_make_up_of_lines(text, kind):
     assert max(k, key=k.get) == kind and k[kind] > 0.5 * sum(k.values())
 
 
+@pytest.mark.parametrize("n", [1, 5])
+def test_records_all_alike(spark, common, n):
+    text = "- red stone\n- blue mill\n- old field\n- wide road"
+    df = spark.createDataFrame([(i, text, None, "en") for i in range(n)], "doc_id bigint, text string, site string, lang string")
+    assert sorted(map(tuple, quality.no_prose(df, common).collect())) == [(i, "list") for i in range(n)]
+
+
 def test_columns_with_blocks(spark):
     """Many entries of one shingle are divided into blocks; no pair is lost or doubled."""
     rng = random.Random(6)
