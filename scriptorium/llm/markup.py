@@ -28,6 +28,10 @@ _ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|([A-Za-z][A-Za-z0-9
 _SWITCHES = "bf it em tt sc sl rm sf bfseries itshape ttfamily scshape slshape small large Large huge Huge tiny footnotesize normalsize centering"
 
 
+#: Target of a link: an address, which may hold pairs of brackets, and a title.
+_TARGET = r"\((?:[^()\s]|\([^()\s]*\))+(?:[ \t]+\"[^\"\n]*\")?\)"
+
+
 class Mark:
     """One form of markup: its kind, the signs one of which must be present, and its pattern."""
 
@@ -45,7 +49,7 @@ class Mark:
 
 
 MARKS = [
-    Mark("html", "tag", ("<",), TAG + r"|<!DOCTYPE[^<>\n]*>", re.I),
+    Mark("html", "tag", ("<",), TAG + r"|<!DOCTYPE[^<>]*>", re.I),
     Mark("html", "comment", ("<!--",), r"<!--"),
     Mark("html", "reference", ("&",), _ENTITY.pattern),
     Mark("markdown", "heading", ("#",), r"^ {0,3}#{1,6}[ \t]+[^\s#]"),
@@ -54,7 +58,7 @@ MARKS = [
     Mark("markdown", "underscores", ("_",), r"(?<![\w\\{}^$])(_{1,3})(?=[^\s_{])[^_\n$]*(?<=[^\s_])\1(?!\w)"),
     Mark("markdown", "struck", ("~~",), r"~~(?=\S)[^~\n]+(?<=\S)~~"),
     Mark("markdown", "code", ("`",), r"(?<!`)`(?=[^`\s])[^`\n]*`(?!`)|^[ \t]*```"),
-    Mark("markdown", "link", ("](",), r"!?\[[^\[\]\n]*\]\([^()\s]+(?:[ \t]+\"[^\"\n]*\")?\)"),
+    Mark("markdown", "link", ("](",), rf"!?\[[^\[\]\n]*\]{_TARGET}"),
     Mark("markdown", "reference link", ("][", "]:"), r"(?<![\w\])])!?\[[^\[\]\n]+\]\[[^\[\]\n]*\]|^ {0,3}\[[^\[\]\n]+\]:[ \t]+\S+"),
     Mark("markdown", "address", ("<http", "<mailto"), r"<(?:https?://|mailto:)[^<>\s]+>"),
     Mark("markdown", "task", ("[ ]", "[x]", "[X]"), r"^[ \t]*(?:[-*+]|\d+[.)])[ \t]+\[[ xX]\](?=[ \t])"),
@@ -170,18 +174,22 @@ def fit_weights(lines: DataFrame) -> dict[str, float]:
 _TAGS = re.compile(TAG, re.I)
 _COMMENT = re.compile(r"<!--.*?-->", re.S)
 _DROPPED = re.compile(r"<(script|style|noscript)\b[^<>]*>.*?</\1\s*>", re.I | re.S)
-_PRE = re.compile(r"</?pre\b[^<>]*>", re.I)
+_PRE = re.compile(r"<pre\b[^<>]*>(.*?)(?:</pre\s*>|\Z)", re.I | re.S)
+_CODE = re.compile(r"<(code|kbd|samp|tt)\b[^<>]*>(.*?)</\1\s*>", re.I | re.S)
+_MATH = re.compile(r"<math\b[^<>]*>([^<>]*)</math\s*>", re.I)
+_FENCE = re.compile(r"^([ \t]*)(```+|~~~+)[^\n`]*\n(?:.*?\n)??[ \t]*\2[ \t]*\r?$", re.M | re.S)
 _H = re.compile(r"<h([1-6])\b[^<>]*>", re.I)
 _LI = re.compile(r"<li\b[^<>]*>", re.I)
 _CELL = re.compile(r"</t[dh]>\s*<t[dh]\b[^<>]*>", re.I)
 _BREAK = re.compile(r"<(?:br|p|div|tr|ul|ol|table|section|article|blockquote|dt|dd)\b[^<>]*>|</(?:p|div|li|tr|h[1-6]|ul|ol|table|section|article|blockquote)\s*>", re.I)
-_MD_LINK = re.compile(r"!?\[([^\[\]\n]*)\]\([^()\s]+(?:[ \t]+\"[^\"\n]*\")?\)")
+_MD_LINK = re.compile(rf"!?\[([^\[\]\n]*)\]{_TARGET}")
 _MD_REF = re.compile(r"(?<![\w\])])!?\[([^\[\]\n]+)\]\[[^\[\]\n]*\]")
 _MD_DEF = re.compile(r"^ {0,3}\[[^\[\]\n]+\]:[ \t]+\S+[ \t]*\r?$", re.M)
 _STARS = re.compile(r"(?<![\w*\\])(\*{1,3})(?=[^\s*])([^*\n]*)(?<=[^\s*])\1(?![\w*])")
 _UNDERS = re.compile(r"(?<![\w\\{}^$])(_{1,3})(?=[^\s_{])([^_\n$]*)(?<=[^\s_])\1(?!\w)")
 _STRUCK = re.compile(r"~~(?=\S)([^~\n]+)(?<=\S)~~")
 _TICK = re.compile(r"(?<!`)`(?=[^`\s])([^`\n]*)`(?!`)")
+_DOLLARS = MARKS[[m.name for m in MARKS].index("dollars")].pattern
 _UNDERLINE = re.compile(r"^([^\n]*\S[^\n]*)\n {0,3}(={3,}|-{3,})[ \t]*\r?$", re.M)
 _RULED = MARKS[[m.name for m in MARKS].index("table")].pattern
 _TASK = re.compile(r"^([ \t]*(?:[-*+]|\d+[.)])[ \t]+)\[[ xX]\][ \t]", re.M)
@@ -196,14 +204,15 @@ _WROW = re.compile(r"^[ \t]*[|!] *", re.M)
 _TEX_DROP = re.compile(r"\\(?:documentclass|usepackage|label|bibliography|bibliographystyle|pagestyle|thispagestyle|vspace|hspace|setlength|input|include)\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}(?:\{[^{}\n]*\})?")
 _TEX_REF = re.compile(r"[ ~]?\\(?:cite|citep|citet|ref|eqref|pageref)\*?(?:\[[^\]\n]*\])*\{[^{}\n]*\}")
 _TEX_HEAD = re.compile(r"\\(title|chapter|section|subsection|subsubsection|paragraph)\*?(?:\[[^\]\n]*\])?\{([^{}\n]*)\}")
-_TEX_CODE = re.compile(r"\\(?:begin|end)\{(?:verbatim|lstlisting)\*?\}(?:\[[^\]\n]*\])?")
+_TEX_CODE = re.compile(r"\\begin\{(verbatim|lstlisting)(\*?)\}(?:\[[^\]\n]*\])?(.*?)\\end\{\1\2\}", re.S)
 _TEX_MATH = re.compile(r"\\begin\{(equation|align|displaymath|eqnarray)\*?\}(.*?)\\end\{\1\*?\}", re.S)
 _TEX_ENV = re.compile(r"\\(?:begin|end)\{[^{}\n]*\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?")
 _TEX_ITEM = re.compile(r"\\item\b(?:\[[^\]\n]*\])?[ \t]*")
 _TEX_NOTE = re.compile(r"\\footnote\{([^{}\n]*)\}")
-_TEX_ARG = re.compile(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{([^{}\n]*)\}")
-_TEX_SWITCH = re.compile(r"\{\\(?:" + "|".join(_SWITCHES.split()) + r")\b[ \t]*([^{}\n]*)\}")
-_TEX_FORMULA = re.compile(r"\$\$.+?\$\$|\$[^$\n]+\$|\\\(.+?\\\)|\\\[.+?\\\]", re.S)
+_TEX_ARG = r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{([^{}\n]*)\}"
+_TEX_SWITCH = r"\{\\(?:" + "|".join(_SWITCHES.split()) + r")\b[ \t]*([^{}\n]*)\}"
+_TEX_FORMULA = re.compile(r"\\\(.+?\\\)|\\\[.+?\\\]", re.S)
+_TEX_ANY = re.compile(f"{_TEX_ARG}|{_TEX_SWITCH}")
 _BLANK_LINES = re.compile(r"\n(?:[ \t]*\n){2,}")
 
 
@@ -214,28 +223,81 @@ def _template(m: re.Match) -> str:
     return max(shown, key=len, default="")
 
 
+class _Kept:
+    """Pieces set aside while the rest of a text is cleaned; they come back as they were."""
+
+    def __init__(self, text: str):
+        # two characters for private use that the text does not hold
+        free = (chr(c) for c in range(0xE000, 0xF8FF) if chr(c) not in text)
+        self.open, self.close, self.pieces = next(free), next(free), []
+
+    def put(self, piece: str) -> str:
+        self.pieces.append(piece)
+        return f"{self.open}{len(self.pieces) - 1}{self.close}"
+
+    def back(self, text: str) -> str:
+        if self.pieces:
+            mark = re.compile(f"{self.open}(\\d+){self.close}")
+            while mark.search(text):  # a piece may hold earlier ones
+                text = mark.sub(lambda m: self.pieces[int(m[1])], text)
+        return text
+
+
+def _unescape(t: str) -> str:
+    return _ENTITY.sub(lambda m: html.unescape(m[0]) if m[1] is None or m[1] in _ENTITY_NAMES else m[0], t).replace("\xa0", " ") if "&" in t else t
+
+
+def _block(code: str) -> str:
+    return "\n```\n" + code.strip("\r\n") + "\n```\n"
+
+
+def _until_same(pattern: re.Pattern, by, t: str) -> str:
+    """Replaces from the inside out, however deep the nesting."""
+    while True:
+        s = pattern.sub(by, t)
+        if s == t:
+            return t
+        t = s
+
+
+def _set_aside(t: str, kept: _Kept) -> str:
+    """Takes code and formulas out of ``t``, so that no sign in them is taken for markup."""
+    if "```" in t or "~~~" in t:
+        t = _FENCE.sub(lambda m: kept.put(m[0]), t)
+    if "<" in t:
+        bare = lambda x: _unescape(_TAGS.sub("", x))
+        t = _PRE.sub(lambda m: kept.put(_block(bare(m[1]))), t)
+        t = _CODE.sub(lambda m: kept.put(bare(m[2])), t)
+        t = _MATH.sub(lambda m: kept.put("$" + _unescape(m[1]).strip() + "$"), t)
+    if "`" in t:
+        t = _TICK.sub(lambda m: kept.put(m[1]), t)
+    if "\\" in t:
+        t = _TEX_CODE.sub(lambda m: kept.put(_block(m[3])), t)
+        t = _TEX_MATH.sub(lambda m: kept.put("$$" + " ".join(m[2].split()) + "$$"), t)
+        t = _TEX_FORMULA.sub(lambda m: kept.put(m[0]), t)
+    if "$" in t:
+        t = _DOLLARS.sub(lambda m: kept.put(m[0]), t)
+    return t
+
+
 def clean(text: str | None) -> str | None:
     """``text`` without markup. Headings become lines starting with ``#``, list items with
-    ``-``, code blocks stand between ````` ``` ````` lines, formulas between dollar signs. Null
-    stays null, empty stays empty; text without markup comes back unchanged."""
+    ``-``, code blocks stand between ````` ``` ````` lines, formulas between their signs; code and
+    formulas are kept letter by letter. Null stays null, empty stays empty; text without markup
+    comes back unchanged. Nested markup is taken off from the inside, to any depth."""
     if not text:
         return text
     t = text
-    if "<" in t:
-        t = _DROPPED.sub(" ", _COMMENT.sub("", t)) if "<!--" in t or "<s" in t.lower() or "<n" in t.lower() else t
-        if _TAGS.search(t):
-            t = _PRE.sub("\n```\n", t)
-            t = _LI.sub("\n- ", _H.sub(lambda m: "\n" + "#" * int(m[1]) + " ", _CELL.sub(" | ", t)))
-            t = _TAGS.sub("", _BREAK.sub("\n", t))
-    if "&" in t:
-        t = _ENTITY.sub(lambda m: html.unescape(m[0]) if m[1] is None or m[1] in _ENTITY_NAMES else m[0], t).replace("\xa0", " ")
+    if "<" in t and ("<!--" in t or "<s" in t.lower() or "<n" in t.lower()):
+        t = _DROPPED.sub(" ", _COMMENT.sub("", t))
+    kept = _Kept(t)
+    t = _set_aside(t, kept)
+    if "<" in t and _TAGS.search(t):
+        t = _LI.sub("\n- ", _H.sub(lambda m: "\n" + "#" * int(m[1]) + " ", _CELL.sub(" | ", t)))
+        t = _TAGS.sub("", _BREAK.sub("\n", t))
+    t = _unescape(t)
     if "{{" in t:
-        t = t.replace("{{=}}", "=")
-        for _ in range(4):  # nested templates, from the inside
-            s = _WTPL.sub(_template, t)
-            if s == t:
-                break
-            t = s
+        t = _until_same(_WTPL, _template, t.replace("{{=}}", "="))
     if "[" in t:
         if "[[" in t:
             t = _WLINK.sub(lambda m: m[2], _WFILE.sub("", t))
@@ -253,44 +315,25 @@ def clean(text: str | None) -> str | None:
         t = _WROW.sub("", _WTABLE.sub("", t))
         t = t.replace("||", "|")
     if "\\" in t:
-        t = _TEX_CODE.sub("```", t)
-        t = _TEX_MATH.sub(lambda m: "$$" + " ".join(m[2].split()) + "$$", t)
         t = _TEX_DROP.sub("", _TEX_REF.sub("", t))
         t = _TEX_HEAD.sub(lambda m: "# " + m[2], t)
         t = _TEX_ITEM.sub("- ", _TEX_ENV.sub("", t))
-        kept: list[str] = []
-        t = _TEX_FORMULA.sub(lambda m: kept.append(m[0]) or f"\x00{len(kept) - 1}\x00", t) if "$" in t or "\\(" in t or "\\[" in t else t
         t = _TEX_NOTE.sub(r" (\1)", t)
-        for _ in range(3):
-            s = _TEX_SWITCH.sub(r"\1", _TEX_ARG.sub(r"\1", t))
-            if s == t:
-                break
-            t = s
-        for k, f in enumerate(kept):
-            t = t.replace(f"\x00{k}\x00", f)
+        t = _until_same(_TEX_ANY, lambda m: m[1] if m[1] is not None else m[2], t)
     if "*" in t:
         t = _STARS.sub(r"\2", t)
     if "_" in t:
         t = _UNDERS.sub(r"\2", t)
     if "~~" in t:
         t = _STRUCK.sub("", t)
-    if "`" in t:
-        t = _TICK.sub(r"\1", t)
+    t = kept.back(t)
     return text if t == text else _BLANK_LINES.sub("\n\n", t).strip("\n")
 
 
-def found(documents: DataFrame) -> DataFrame:
-    """(doc_id, kind): the kinds of markup in each document's text; none for null and empty
-    texts. Whole texts are scanned; repeated rows stay repeated."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k = [kinds(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k, pa.list_(pa.string()))], names=["doc_id", "kinds"])
-
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = arrow_map(documents.select("doc_id", "text"), run, f"doc_id {kind}, kinds array<string>")
-    return rows.select("doc_id", F.explode("kinds").alias("kind"))
+def found(documents: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """(doc_id, kind): the kinds of markup in each document's text, inside its content region and
+    outside; none for null and empty texts. Repeated rows stay repeated."""
+    return cleaned(documents, weights).select("doc_id", F.explode("kinds").alias("kind"))
 
 
 def cleaned(documents: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

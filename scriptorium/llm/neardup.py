@@ -27,7 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.boilerplate import Furniture, _mix, main_text
+from scriptorium.llm.boilerplate import Furniture, without_lines
+from scriptorium.llm.lines import mix as _mix
 from scriptorium.llm.markup import clean
 from scriptorium.session import arrow_map, durable
 
@@ -104,7 +105,7 @@ def sets(documents: DataFrame, run_words: int = 3, least_words: int = 20) -> Dat
     48-bit hashes, packed. A text of fewer words than a run is one run, filled up with what is no
     word, so such texts meet if all their words are equal. Chance equals among 48 bits only add pairs that the full comparison
     of two sets, where they don't matter, sorts out."""
-    rows, roles = Furniture(documents).with_lines(documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), ["doc_id"])
+    rows, mark = Furniture(documents).with_lines(documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), ["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHash()
@@ -112,8 +113,9 @@ def sets(documents: DataFrame, run_words: int = 3, least_words: int = 20) -> Dat
             for start in range(0, whole.num_rows, 1024):
                 b = whole.slice(start, 1024)
                 ids, texts = [], []
-                for d, site, text, marked in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    w = words(clean(main_text(text, site, roles, marked)))
+                docs, sites, whole_texts, titles, marked = (c.to_pylist() for c in b.columns)
+                for d, text, lines in zip(docs, whole_texts, mark(sites, whole_texts, titles, marked), strict=True):
+                    w = words(clean(without_lines(text, lines)))
                     if len(w) >= max(least_words, 1):
                         ids.append(d)
                         texts.append(w + [""] * (run_words - len(w)))
@@ -123,7 +125,7 @@ def sets(documents: DataFrame, run_words: int = 3, least_words: int = 20) -> Dat
                 digest = [xxhash.xxh3_128_digest(x) for x in packed]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n.astype(np.int32)), pa.array(digest, pa.binary()), pa.array(packed, pa.binary())], names=["doc_id", "n", "digest", "items"])
 
-    return arrow_map(rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "site", "text", "furniture"), run, "doc_id bigint, n int, digest binary, items binary")
+    return arrow_map(rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "site", "text", "title", "furniture"), run, "doc_id bigint, n int, digest binary, items binary")
 
 
 def sketch(s: DataFrame) -> np.ndarray:

@@ -125,7 +125,8 @@ def p6_counts(spark, d):
 
 @query("p1_found")
 def p1_found(spark, d):
-    return markup.found(load(spark, d, "documents"))
+    docs = load(spark, d, "documents")
+    return markup.found(docs, markup.fit_weights(boilerplate.labelled_lines(docs)))
 
 
 @query("p3_found")
