@@ -146,7 +146,7 @@ def p10_statistics(spark, d):
 
 @query("p10_scores")
 def p10_scores(spark, d):
-    return quality.scores(load(spark, d, "documents"), load(spark, d, "common_words"))[1]
+    return quality.scores(load(spark, d, "documents"), load(spark, d, "common_words"))
 
 
 @query("p3_groups")
