@@ -12,7 +12,7 @@ on a large part of the pages, once on each, with different bodies around it. And
 pages but not in records that are no page, against the share of the class around it; vectors of
 all hosts laid end to end serve that comparison, so small hosts gain from others that use the same
 publishing system. Where there are too few records that are no page to compare with, regularity
-alone must do, and the fixed words must then make up half of the line.
+alone must do, and the fixed words must then make up half of the line or end in a separator.
 
 Vectors are never gathered. Each is kept as mergeable numbers (pages, lines, words, an
 exclusive-or of page hashes, a 64-bit map of distinct page bodies), added up within each batch,
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.lines import FROM_BEGIN, FROM_END, INNER, SITE, WHOLE, Lines, mix, plain, site_words
+from scriptorium.llm.lines import KINDS, LABEL, SITE, WHOLE, Lines, mix, plain, site_words
 from scriptorium.session import arrow_map, durable
 
 #: A class is part of a template from this (smoothed) share of its occurrences on pages.
@@ -217,8 +217,8 @@ def _marked(line, n, kind, depth, longest, contrasted, lines: int) -> np.ndarray
     """Which lines follow the templates, from the template roles in them."""
     ok = n[line] <= longest
     sure = np.zeros(lines, dtype=bool)
-    sure[line[ok & (contrasted | (kind == WHOLE))]] = True
-    fixed = np.zeros((4, lines), dtype=np.int64)
+    sure[line[ok & (contrasted | (kind == WHOLE) | (kind == LABEL))]] = True
+    fixed = np.zeros((len(KINDS), lines), dtype=np.int64)
     np.maximum.at(fixed, (kind[ok], line[ok]), depth[ok])
     return sure | (2 * fixed.sum(axis=0) >= n) & (fixed.sum(axis=0) > 0)
 
@@ -306,8 +306,8 @@ class Furniture:
         t = self.table.select("role", "kind", "depth", "longest", "contrasted").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
         rows = line_roles(pages.select("doc_id", "site", "text", self._title())).withColumn("salt", F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(parts)).cast("int"))
         hit = rows.join(t, ["role", "salt"]).where(F.col("n") <= F.col("longest"))
-        most = [F.max(F.when(F.col("kind") == k, F.col("depth")).otherwise(0)) for k in range(4)]
-        sure = F.max(F.col("contrasted") | (F.col("kind") == WHOLE))
+        most = [F.max(F.when(F.col("kind") == k, F.col("depth")).otherwise(0)) for k in KINDS]
+        sure = F.max(F.col("contrasted") | F.col("kind").isin(WHOLE, LABEL))
         found = hit.groupBy("doc_id", "line_no").agg(sure.alias("sure"), F.first("n").alias("n"), sum(most[1:], most[0]).alias("fixed"))
         return found.where("sure or 2 * fixed >= n").groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("lines"))
 

@@ -32,8 +32,8 @@ SEPARATORS = "|:>/·•»–—"
 _SEPARATOR = re.compile(f"([{re.escape(SEPARATORS)}])")
 #: Depths of the nested paths from a line's begin and from its end; further ones double.
 BEGIN, END = (1, 2, 3, 6), (2, 4)
-#: Kinds of roles.
-FROM_BEGIN, FROM_END, WHOLE, INNER = range(4)
+#: Kinds of roles; a label is a path from the begin that ends in a separator.
+FROM_BEGIN, FROM_END, WHOLE, INNER, LABEL = KINDS = range(5)
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 _FACTOR = 0xD6E8FEB86659FD93
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
@@ -148,22 +148,23 @@ class Lines:
             line.append(at)
             role.append(r)
             parent.append(up)
-            kind.append(np.full(len(at), k, dtype=np.int8))
+            kind.append(np.full(len(at), k, dtype=np.int8) if np.isscalar(k) else k.astype(np.int8))
             depth.append(np.full(len(at), d, dtype=np.int64) if np.isscalar(d) else d)
 
         outer = np.zeros(len(n), dtype=np.uint64)
+        parts = np.isin(self._hashes, _SEPARATOR_HASHES)
         for k, depths in ((FROM_BEGIN, BEGIN), (FROM_END, END)):
             last = np.zeros(len(n), dtype=np.uint64)
             for d in _depths(depths, longest):
                 at = np.flatnonzero(n > d)
                 r = self._span(s[at], s[at] + d, k) if k == FROM_BEGIN else self._span(e[at] - d, e[at], k)
-                add(at, r, last[at], k, d)
+                add(at, r, last[at], np.where(parts[s[at] + d - 1], LABEL, k) if k == FROM_BEGIN and d > 1 else k, d)
                 last[at] = r
             if k == FROM_BEGIN:
                 outer = last
         every = np.arange(len(n))
         add(every, self._span(s, e, WHOLE), outer, WHOLE, n)
-        sep = np.flatnonzero(np.isin(self._hashes, _SEPARATOR_HASHES))
+        sep = np.flatnonzero(parts)
         if len(sep):
             at = np.searchsorted(s, sep, side="right") - 1
             ok = (sep > s[at]) & (sep + 2 < e[at])

@@ -147,6 +147,23 @@ def test_cleaning_keeps_structure():
     assert markup.clean("plain text, 5 * 3") == "plain text, 5 * 3"
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("<pre>def __init__(self):</pre>", "```\ndef __init__(self):\n```"), ("```py\nreturn a[i](x), *b* \\frac{a}{b} {{x}} <b>\n```\n**c**", "```py\nreturn a[i](x), *b* \\frac{a}{b} {{x}} <b>\n```\nc"), ("$a *b* c$ *d*", "$a *b* c$ d"),
+        ("\\(a *b* c\\) \\emph{d}", "\\(a *b* c\\) d"), ('<div\n class="x">hi</div>', "hi"), ("[a](http://x.com/a_(b)) c", "a c"), ("{{a|{{b|{{c|{{d|{{e|{{f|deep}}}}}}}}}}}}", "deep"), ("\\a{\\b{\\c{\\d{\\e{deep}}}}}", "deep"),
+        ("use `__x__` and *y*", "use __x__ and y"), ("\\begin{verbatim}\nx_{1} = *p;\n\\end{verbatim}\n\\textbf{b}", "```\nx_{1} = *p;\n```\n\nb"), ("<p>x &lt; y <code>a*b*c &amp; d</code></p>", "x < y a*b*c & d"), ("\ue000 <b>x</b> `y`", "\ue000 x y"),
+    ],
+)
+def test_code_and_formulas_are_kept(text, want):
+    assert markup.clean(text) == want
+
+
+def test_kinds_of_tags_over_lines():
+    assert markup.kinds('<div\n class="x">hi</div\n>') == ["html"] and markup.kinds("a <b\nc <d") == []
+    assert len(lines.plain('x <div\n class="y">z\nw')) == 3
+
+
 def test_best_region_is_the_maximum():
     rng = random.Random(1)
     for _ in range(200):
@@ -203,7 +220,76 @@ def test_templates_of_a_small_web(spark):
     got = {(r["doc_id"], r["line_no"]) for r in boilerplate.furniture(df).collect()}
     assert got == {(i, k) for i in range(60) for k in (0, 1, 4, 7)}
     f = boilerplate.Furniture(df)
-    assert {(r["doc_id"], x) for r in f._joined(df).collect() for x in r["lines"]} == got
+    assert {(r["doc_id"], x) for r in f._joined(df.where("site is not null")).collect() for x in r["lines"]} == got
+
+
+#: Words of two languages that no rule here was written with.
+POLISH = "rzeka most dom szkoła pole las miasto droga rynek zamek kościół młyn wieś brzeg ogród wiatr zima lato wiosna jesień stół okno kamień ptak".split()
+FINNISH = "katu talo joki silta metsä kylä koulu tori linna mylly ranta puutarha tuuli talvi kesä kevät syksy pöytä ikkuna kivi lintu laiva".split()
+
+
+def _unseen(spark, hosts, pages, others):
+    """Pages of two layouts with their furniture lines; slots stand before, in and after fixed words."""
+    rng = random.Random(3)
+    some = lambda w, n: " ".join(rng.choice(w) for _ in range(n))
+    sentence = lambda w, n=12: some(w, rng.randint(n - 4, n + 4)).capitalize() + "."
+    notice = "Tämä sivusto käyttää evästeitä jotta voimme tarjota sinulle parhaan mahdollisen kokemuksen verkossa ja kehittää palveluamme edelleen . " * 3
+    docs, true = [], set()
+    for h in range(hosts):
+        for _ in range(pages):
+            w = (POLISH, FINNISH)[h % 2]
+            body = [(sentence(w), 0) for _ in range(5)]
+            head = [(some(w, 3).capitalize(), 0)]
+            if h % 2:
+                rows = [("Etusivu", 1), ("Uutiset", 1), ("Urheilu", 1), *head, *body, (f"Julkaistu {rng.randint(1, 28)}.{rng.randint(1, 12)}.2024 kello {rng.randint(1, 23)}", 1), (notice, 1), (f"Luitko jo tämän? {sentence(w, 5)}", 1)]
+            else:
+                rows = [("Strona główna | Sport | Kontakt", 1), (f"{some(w, 3)} — czytaj więcej w dziale kultura i sztuka", 1), *head, *body[:3], (f"Zobacz też: {sentence(w, 5)}", 1), *body[3:], (f"{some(w, 3)} wszelkie prawa zastrzeżone przez wydawcę", 1)]
+            true |= {(len(docs), k) for k, (_, f) in enumerate(rows) if f}
+            docs.append((len(docs), "\n".join(r for r, _ in rows), f"www.paikka{h}-uutiset.example"))
+    for _ in range(others):
+        w = rng.choice([POLISH, FINNISH])
+        docs.append((len(docs), "\n".join(sentence(w) for _ in range(6)), None))
+    return spark.createDataFrame(docs, "doc_id bigint, text string, site string"), true
+
+
+@pytest.mark.parametrize(("hosts", "pages", "others", "recall", "precision"), [(1, 40, 60, 0.95, 0.95), (6, 4, 30, 0.95, 0.95), (2, 60, 100, 0.95, 0.95), (1, 40, 0, 0.8, 0.95), (1, 10, 0, 0.8, 0.95), (6, 3, 0, 0.9, 0.95)])
+def test_templates_of_unseen_pages(spark, hosts, pages, others, recall, precision):
+    """Layouts and languages not looked at before."""
+    df, true = _unseen(spark, hosts, pages, others)
+    got = {tuple(r) for r in boilerplate.furniture(df).collect()}
+    assert len(got & true) >= recall * len(true) and len(got & true) >= precision * len(got)
+
+
+def test_roles_beyond_the_broadcast(spark):
+    df, _ = _unseen(spark, 2, 12, 30)
+    want = sorted(map(tuple, boilerplate.furniture(df).collect()))
+    old = boilerplate.BROADCAST_ROLES, boilerplate.BROADCAST_HOSTS
+    try:
+        boilerplate.BROADCAST_ROLES = boilerplate.BROADCAST_HOSTS = 0
+        assert sorted(map(tuple, boilerplate.furniture(df).collect())) == want
+        joined = sorted(map(tuple, boilerplate.main_texts(df).collect()))
+    finally:
+        boilerplate.BROADCAST_ROLES, boilerplate.BROADCAST_HOSTS = old
+    assert sorted(map(tuple, boilerplate.main_texts(df).collect())) == joined
+
+
+def test_own_title_is_main_text():
+    assert boilerplate.is_title("the old mill of soba", "The Old Mill of Soba - Green Post", "www.green-post.example")
+    assert boilerplate.is_title("fwd : the old mill", "The old mill", "a.example")
+    assert not boilerplate.is_title("related : the old mill / the new bridge", "The old mill", "a.example")
+    assert not boilerplate.is_title("home", "Home", "a.example")
+
+
+def test_roles_cover_whole_lines():
+    text = " ".join(f"w{k}x" for k in range(5000))
+    a, b = lines.Lines([text, text + " end"], [None, None]), lines.Lines(["q " + text], [None])
+    line, role, parent, kind, depth = a.roles()
+    assert depth[kind == lines.WHOLE].tolist() == [5000, 5001]
+    first, second = ({(int(r), int(k)) for r, k, x in zip(role, kind, line, strict=True) if x == i} for i in (0, 1))
+    assert len([1 for _, k in first & second if k == lines.FROM_BEGIN]) == 13 and not [1 for _, k in first & second if k in (lines.WHOLE, lines.FROM_END)]
+    other = {(int(r), int(k)) for r, k in zip(b.roles()[1], b.roles()[3], strict=True)}
+    assert len([1 for _, k in first & other if k == lines.FROM_END]) == 12
+    assert set(parent[(kind == lines.FROM_BEGIN) & (depth > 1)].tolist()) <= set(role.tolist())
 
 
 def test_copies_make_no_template(spark):
@@ -225,6 +311,8 @@ def test_lines_keep_their_numbers():
     [
         ("- red stone\n- blue mill\n- old field\n- wide road", "list"), ("Apple, 3, 5\nPear, 7\nPlum, 9, 12", "list"), ("mill, valve, river, stone, tide\nfield, road, harbour, tower, gate", "list"),
         ("a\t1\t2\nb\t3\t4\nc\t5\t6\nd\t7\t8", "table"), ("x;1;2\ny;3;4\nz;5;6", "table"), ("18 4b 94 e7 bb ca 16 58\n2f 84 40 b9 49 1c 38 fc", "junk"), ("xkcd qwrt zzzpl mnbv lkjh gfds\nqqrw tplkj mnbb vvcx", "junk"),
+        ("Wczesnym rankiem mieszkańcy wsi wyszli na pole, aby zebrać zboże przed deszczem. Nikt nie wiedział, że burza nadejdzie tak szybko.", "prose"), ("Aamulla kyläläiset lähtivät pellolle korjaamaan viljaa ennen sadetta. Kukaan ei tiennyt, että myrsky tulisi niin nopeasti ja että silta tuhoutuisi.", "prose"),
+        ("name,age,city\nanna,12,oslo\nbob,33,bergen\ncarl,45,moss", "table"), ("mill 12 4.5\nriver 8 3.1\nstone 7 2.2", "table"), ("Cisza nad wodą\nptak nad lasem\nsen o morzu\ndom we mgle\nświt za górą\ndroga do domu", "prose"), ("I wandered by the river\nthe morning slow and grey\nno bird had come to answer", "prose"),
         ("t h e q u i c k b r o w n\nf o x j u m p s o v e r", "junk"), ("The mill of the village stood by the river.\n- red stone\nIt was the pride of the valley.", "prose"), ("THE MILL OF THE VILLAGE STOOD BY THE RIVER.", "prose"), ("Short one.", "prose"),
     ],
 )
@@ -240,6 +328,33 @@ def test_records_all_alike(spark, common, n):
     assert sorted(map(tuple, quality.no_prose(df, common).collect())) == [(i, "list") for i in range(n)]
 
 
+def test_scores_by_hand(spark, common):
+    """Scores against a plain computation, with values sent to workers and without."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["the", "of", "mill", "river", "stones", "a"]) for _ in range(rng.randint(3, 30))) + rng.choice([".", "", "!"]) for _ in range(150)]
+    rows = [(i, t, None, rng.choice(["en", "EN-us", "pl", None, "und"])) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, site string, lang string")
+    stats = {r["doc_id"]: r for r in quality.statistics(df, common).collect()}
+    total = {}
+    for i, r in stats.items():
+        s = 0.0
+        for name, side in quality.FIGURES.items():
+            tails = []
+            for group in ([x for x in stats.values() if x["lang"] == r["lang"]], list(stats.values())):
+                high, low = (sum(f(x[name]) for x in group) / len(group) for f in (lambda v, r=r, n=name: v >= r[n], lambda v, r=r, n=name: v <= r[n]))
+                tails.append(high if side > 0 else low if side < 0 else min(1.0, 2 * min(high, low)))
+            s -= np.log(min(tails))
+        total[i] = s
+    old = quality.BROADCAST_VALUES, quality.HEAVY
+    try:
+        for quality.BROADCAST_VALUES, quality.HEAVY in (old, (0, old[1]), (old[0], 0.2)):
+            got = {r["doc_id"]: r["score"] for r in quality.scores(df, common).collect()}
+            assert got == pytest.approx(total, abs=2e-6)
+    finally:
+        quality.BROADCAST_VALUES, quality.HEAVY = old
+    assert {quality.language(x) for x in ("en", "EN-us", " eng ", "en_GB")} == {"en"} and quality.language("und") == quality.language(None) == quality.OTHER
+
+
 def test_columns_with_blocks(spark):
     """Many entries of one shingle are divided into blocks; no pair is lost or doubled."""
     rng = random.Random(6)
