@@ -23,6 +23,8 @@ from scriptorium.session import arrow_map, durable
 FREQUENT = 0.002
 #: Most frequent terms sent to every worker; with more, all pairs go through the join.
 BROADCAST_TERMS = 400_000
+#: Parts of a frequent term's pairs where they are joined by a shuffle.
+SALTS = 32
 
 
 def _normal(terms: str):
@@ -63,21 +65,17 @@ def record_count(records: DataFrame, terms: str = "terms") -> int:
 
 
 def weight(kind: str, n_records: int):
-    """Column over tf, document_count, collection_count.
+    """Column over tf, document_count, collection_count, rounded to six decimals.
 
     ``tf_idf``: tf x ln(N / n). ``residual_idf``: log2(N / n) less the value expected if the
-    term's occurrences fell on records by chance, -log2(1 - exp(-cf / N)), times tf. Both are
-    rounded to six decimals.
+    term's occurrences fell on records by chance, -log2(1 - exp(-cf / N)), times n. It is the same
+    in all records that have the term.
     """
-    n = float(max(n_records, 1))
     if kind == "tf_idf":
-        w = F.col("tf") * F.ln(F.lit(n) / F.col("document_count"))
-    elif kind == "residual_idf":
-        expected = -F.log2(1.0 - F.exp(-F.col("collection_count") / n))
-        w = F.col("tf") * (F.log2(F.lit(n) / F.col("document_count")) - expected)
-    else:
-        raise ValueError(f"unknown weight {kind}")
-    return F.round(w, 6)
+        return F.round(F.col("tf") * weight_raw(kind, n_records), 6)
+    if kind == "residual_idf":
+        return F.round(weight_raw(kind, n_records), 6)
+    raise ValueError(f"unknown weight {kind}")
 
 
 def most_distinctive(records: DataFrame, top: int = 3, least_terms: int = 20, kind: str = "tf_idf", record: str = "doc_id", terms: str = "terms") -> DataFrame:
@@ -109,7 +107,7 @@ def most_distinctive(records: DataFrame, top: int = 3, least_terms: int = 20, ki
             at = np.asarray(at.fill_null(0))
             w = np.zeros(len(row))
             if len(names):
-                w[~rare] = tf[~rare] * unit[at[~rare]]
+                w[~rare] = (tf[~rare] if kind == "tf_idf" else 1.0) * unit[at[~rare]]
             keep = rare.copy()
             # of the frequent terms of a record only its best can be among its best of all; a
             # small margin keeps ties that rounding makes, which the last step orders
@@ -129,18 +127,19 @@ def most_distinctive(records: DataFrame, top: int = 3, least_terms: int = 20, ki
 
     pairs = arrow_map(bags, run, f"rec {kind_of}, term string, tf bigint, rare boolean")
     # one join gives every remaining pair its statistics: the few kept frequent ones and the rare
-    scored = pairs.join(stats, "term").select("rec", "term", weight(kind, n).alias("weight"))
+    joined = pairs.join(stats, "term") if known else _with_statistics(pairs, stats, common)
+    scored = joined.select("rec", "term", weight(kind, n).alias("weight"))
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), F.col("term").alias("term")))), 1, top)
     out = scored.groupBy("rec").agg(best.alias("best")).select("rec", F.explode("best").alias("b"))
     return out.select(F.col("rec").alias(record), F.col("b.term").alias("term"), (F.lit(0.0) - F.col("b.w")).alias("weight"))
 
 
 def weight_raw(kind: str, n_records: int):
-    """The weight of one occurrence, not rounded."""
+    """The weight of one occurrence (``residual_idf``: of any number), not rounded."""
     n = float(max(n_records, 1))
     if kind == "tf_idf":
         return F.ln(F.lit(n) / F.col("document_count"))
-    return F.log2(F.lit(n) / F.col("document_count")) + F.log2(1.0 - F.exp(-F.col("collection_count") / n))
+    return F.col("document_count") * (F.log2(F.lit(n) / F.col("document_count")) + F.log2(1.0 - F.exp(-F.col("collection_count") / n)))
 
 
 def residual_idf(records: DataFrame, record: str = "doc_id", terms: str = "terms") -> DataFrame:
@@ -148,5 +147,39 @@ def residual_idf(records: DataFrame, record: str = "doc_id", terms: str = "terms
     each term times its record frequency, rounded to four decimals: high where occurrences are
     concentrated in few records, about zero for terms spread by chance."""
     n = record_count(records, terms)
-    w = F.col("document_count") * weight_raw("residual_idf", n)
-    return statistics(records, terms).select("term", "document_count", "collection_count", F.round(w, 4).alias("weight"))
+    return statistics(records, terms).select("term", "document_count", "collection_count", F.round(weight_raw("residual_idf", n), 4).alias("weight"))
+
+
+def record_weights(records: DataFrame, kind: str = "residual_idf", record: str = "doc_id", terms: str = "terms") -> DataFrame:
+    """(record, term, weight): how distinctive each distinct term of each record is.
+
+    Weights of frequent terms are sent to every worker if they are few; else all pairs are joined,
+    those of frequent terms in salted parts. Null and empty lists give no row.
+    """
+    stats = durable(statistics(records, terms), "term-stats")
+    n = record_count(records, terms)
+    common = stats.where(F.col("document_count") >= max(FREQUENT * n, 2.0))
+    kind_of = records.schema[record].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, term, tf = _bags(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), term, pa.array(tf, pa.int64())], names=["rec", "term", "tf"])
+
+    pairs = arrow_map(records.select(F.col(record).alias("rec"), _normal(terms).alias("terms")), run, f"rec {kind_of}, term string, tf bigint")
+    scored = _with_statistics(pairs, stats, common).select("rec", "term", weight(kind, n).alias("weight"))
+    return scored.select(F.col("rec").alias(record), "term", "weight")
+
+
+def _with_statistics(pairs: DataFrame, stats: DataFrame, common: DataFrame) -> DataFrame:
+    """``pairs`` (rec, term, ...) joined with ``stats``, though a few terms hold most pairs."""
+    if common.count() <= BROADCAST_TERMS:
+        c = F.broadcast(common.select("term", F.col("document_count").alias("dc"), F.col("collection_count").alias("cc")))
+        known = pairs.join(c, "term", "left")
+        near = known.where("dc is not null").withColumnsRenamed({"dc": "document_count", "cc": "collection_count"})
+        return near.unionByName(known.where("dc is null").drop("dc", "cc").join(stats, "term"))
+    salted = stats.join(common.select("term", F.lit(True).alias("hot")), "term", "left")
+    salted = salted.withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1))))).drop("hot")
+    # each pair looks in its own part and in the one for terms that are not divided
+    both = pairs.withColumn("salt", F.explode(F.array(F.lit(-1), F.pmod(F.xxhash64("rec"), F.lit(SALTS)).cast("int"))))
+    return both.join(salted, ["term", "salt"]).drop("salt")

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,16 +73,54 @@ class Encoder(dict):
         known = {b: joined_before(iter(ranks), ord(b)) for b in "\t\n\r "}
         self.cuts = "".join(b for b, left in known.items() if left is not None and all(x.isspace() for x in left))
         c = re.escape(self.cuts)
+        self.pieces = regex.compile(module.PATTERN).findall
+        self.ranks = ranks
+        self.joined = np.zeros((256, 256), dtype=bool)
+        for t in ranks:
+            b = np.frombuffer(t, dtype=np.uint8)
+            self.joined[b[:-1], b[1:]] = True
         self.fragments = re.compile(rf"\s*\S+(?:[^\S{c}]\s*\S+)*|\s+" if self.cuts else r"(?s).+").findall
 
     def __missing__(self, fragment: str) -> bytes:
-        ids = np.array(self.encoding.encode_ordinary(fragment), dtype=np.int32).tobytes()
-        if len(fragment) <= STORED_CHARS:
-            if len(self) >= STORE_LIMIT:
-                self.clear()
-            self[fragment] = ids
+        if len(fragment) > STORED_CHARS:
+            parts = self.pieces(fragment)
+            if len(parts) > 1:
+                return b"".join([self[x] if len(x) <= STORED_CHARS else self.long_piece(x) for x in parts])
+            return self.long_piece(fragment)
+        ids = self.ids(self.encoding.encode_ordinary(fragment))
+        if len(self) >= STORE_LIMIT:
+            self.clear()
+        self[fragment] = ids
         return ids
 
+    @staticmethod
+    def ids(found: list[int]) -> bytes:
+        return np.array(found, dtype=np.int32).tobytes()
+
+    def parts(self, piece: str) -> list[bytes]:
+        """A piece of the pattern, cut between all bytes that no token holds side by side, except
+        within a character."""
+        raw = piece.encode()
+        b = np.frombuffer(raw, dtype=np.uint8)
+        cut = np.flatnonzero(~self.joined[b[:-1], b[1:]] & ((b[1:] & 0xC0) != 0x80)) + 1
+        return [raw[x:y] for x, y in zip([0, *cut.tolist()], [*cut.tolist(), len(raw)], strict=True)]
+
+    def long_piece(self, piece: str) -> bytes:
+        parts = self.parts(piece)
+        if len(parts) == 1:
+            return self.ids(self.encoding.encode_ordinary(piece))
+        return b"".join([self.ids(self.merged(x)) if x in self.ranks else self[x.decode()] if len(x) <= STORED_CHARS else self.ids(self.encoding.encode_ordinary(x.decode())) for x in parts])
+
+    def merged(self, part: bytes) -> list[int]:
+        """Merges of the lowest rank first, from single bytes on."""
+        t = [part[i : i + 1] for i in range(len(part))]
+        while len(t) > 1:
+            rank, i = min((self.ranks.get(t[i] + t[i + 1], 1 << 62), i) for i in range(len(t) - 1))
+            if rank == 1 << 62:
+                break
+            t[i : i + 2] = [t[i] + t[i + 1]]
+        return [self.ranks[x] for x in t]
+
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian int32 bytes; none for null or empty text."""
         if not text:

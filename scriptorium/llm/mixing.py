@@ -64,6 +64,16 @@ def copies(documents: DataFrame, rate: DataFrame, seed: int = 17, keep: list[str
     return j.select("doc_id", F.col("target").alias("source"), n.cast("int").alias("copies"), *(keep or []))
 
 
+def mixture(documents: DataFrame, targets: DataFrame, folder: str | None = None, seed: int = 17) -> DataFrame:
+    """(doc_id, source, copy, n): the mixture itself, one row for each emitted copy of a document,
+    counted from 1, with its size in tokens. Documents with no copy have no row."""
+    ids = encode(documents.select("doc_id", "source", "text"), folder=folder, keep=["source"])
+    sized = durable(ids.select("doc_id", "source", F.size("ids").alias("n")), "sizes")
+    spent = sized.groupBy(F.lower(F.trim("source")).alias("key")).agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
+    c = copies(sized, rates(documents, targets, folder, spent), seed, keep=["n"]).where("copies > 0")
+    return c.select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "n")
+
+
 def reached(documents: DataFrame, targets: DataFrame, folder: str | None = None, seed: int = 17) -> DataFrame:
     """(source, target_share, rate, docs, emitted_docs, emitted_tokens, actual_share).
 

@@ -39,6 +39,11 @@ def p9_found(spark, d):
     return mixing.short_sources(load(spark, d, "documents"), load(spark, d, "mix_targets"))
 
 
+@query("p9_mixture")
+def p9_mixture(spark, d):
+    return mixing.mixture(load(spark, d, "documents"), load(spark, d, "mix_targets"))
+
+
 @query("p9_shares")
 def p9_shares(spark, d):
     return mixing.reached(load(spark, d, "documents"), load(spark, d, "mix_targets"))
@@ -93,6 +98,15 @@ def p4_residual_idf(spark, d):
     return distinct_terms.residual_idf(docs)
 
 
+@query(
+    "p4_record_weights",
+    f"""{_P4_BAGS}
+SELECT doc_id, term, round(df * (log2(n.n / df) + log2(1.0 - exp(-cf / CAST(n.n AS DOUBLE)))), 6) AS weight FROM bag JOIN stat USING (term), n""",
+)
+def p4_record_weights(spark, d):
+    return distinct_terms.record_weights(load(spark, d, "documents"))
+
+
 _P6_PAIRS = """
 WITH pair AS (
   SELECT DISTINCT lower(trim(term, ' ')) AS term, docid FROM postings WHERE term IS NOT NULL AND docid IS NOT NULL),

@@ -118,6 +118,19 @@ def test_encoding_round_trip(text):
     assert e.encoding.decode(ids) == text
 
 
+def test_texts_without_blanks():
+    """Long pieces are cut between bytes that no token joins; tokens within are merged by steps."""
+    e = encode.encoder(None, "byte_bpe_50k")
+    rng = random.Random(11)
+    for alphabet in ("abcdefgh", "漢字仮名交文テスト", "őűąęłżźć", "ab漢é1,'", "กขคงจฉ", "абвгде"):
+        for _ in range(40):
+            text = "".join(rng.choice(alphabet) for _ in range(rng.randint(49, 400)))
+            assert np.frombuffer(e.encode(text), dtype=np.int32).tolist() == e.encoding.encode_ordinary(text)
+    assert len(e.parts("漢字仮名交文" * 20)) > 1
+    b = [x for x in e.ranks if 2 <= len(x) <= 6][:2000]
+    assert sum(e.merged(x) == [e.ranks[x]] for x in b) >= 0.99 * len(b)
+
+
 def test_special_tokens_are_text():
     e = encode.encoder(None, "byte_bpe_50k")
     assert 50256 not in np.frombuffer(e.encode("a<|endoftext|>b"), dtype=np.int32)
@@ -383,8 +396,10 @@ def test_frequent_terms_beyond_the_broadcast(spark):
     a = sorted(map(tuple, distinct_terms.most_distinctive(df).collect()))
     old = distinct_terms.BROADCAST_TERMS
     try:
+        every = sorted(map(tuple, distinct_terms.record_weights(df).collect()))
         distinct_terms.BROADCAST_TERMS = 0
         b = sorted(map(tuple, distinct_terms.most_distinctive(df).collect()))
+        assert sorted(map(tuple, distinct_terms.record_weights(df).collect())) == every and len(every) > 360
     finally:
         distinct_terms.BROADCAST_TERMS = old
     assert a == b and len(a) == 360

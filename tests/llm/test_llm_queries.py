@@ -26,7 +26,7 @@ SHAPES = {
     "p1_found": ("doc_id kind", "doc_id kind"), "p1_clean": ("doc_id text kinds region_begin region_end", "doc_id"), "p3_found": ("doc_a doc_b", "doc_a doc_b"), "p3_groups": ("doc_id group_id links", "doc_id"),
     "p7_found": ("doc_id line_no", "doc_id line_no"), "p7_main_text": ("doc_id text", "doc_id"), "p8_ids": ("doc_id ids", "doc_id"), "p9_found": ("source", "source"), "p10_found": ("doc_id kind", "doc_id"),
     "p9_shares": ("source target_share rate docs emitted_docs emitted_tokens actual_share", "source"), "p9_mixture": ("doc_id source copy n", "doc_id copy"), "p10_scores": ("doc_id score least_tail list_share table_share junk_share", "doc_id"),
-    "p10_statistics": ("doc_id lang words mean_word_length symbol_share ends_share common_share list_share table_share junk_share", "doc_id"), "p4_record_weights": ("doc_id term weight", "doc_id term"),
+    "p10_statistics": ("doc_id lang words mean_word_length symbol_share ends_share common_share list_share table_share junk_share", "doc_id"),
 }
 #: Queries with one row for each document, whatever its text.
 WHOLE = {"p1_clean", "p3_groups", "p7_main_text", "p8_ids"}
