@@ -46,22 +46,43 @@ def scrub_url(url: Column) -> Column:
     return F.regexp_replace(u, "/$", "")
 
 
+def _without_dots(path: Column) -> Column:
+    """A path that starts with a slash, its ``.`` and ``..`` segments resolved; ``..`` above the
+    root is dropped. A path that ends in one of them keeps a slash at its end."""
+    parts = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
+
+    def step(done: Column, x: Column) -> Column:
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(x == "..", up).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    end = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), end)
+
+
 def join_url(base: Column, link: Column) -> Column:
-    """The address a link of a page points to, by built-in functions; fragments alone, mail and
-    script links are null."""
+    """The address a link of a page points to, as RFC 3986 resolves references, by built-in
+    functions. The fragment is dropped; fragments alone, empty links and those of schemes that
+    name no page (mail, script, data, telephone) are null, and so is a link of a null page."""
+    ref = F.regexp_replace(F.trim(link), "#.*$", "")
     root = F.regexp_extract(base, r"^([a-zA-Z][\w+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"(?<=[^/])/[^/]*$", "")
     scheme = F.regexp_extract(base, r"^([a-zA-Z][\w+.-]*:)", 1)
-    u = (
-        F.when(link.rlike(r"^\s*(#|mailto:|javascript:|data:)") | (F.trim(link) == ""), F.lit(None).cast("string"))
-        .when(link.rlike(r"^[a-zA-Z][\w+.-]*://"), link)
-        .when(link.startswith("//"), F.concat(scheme, link))
-        .when(link.startswith("/"), F.concat(root, link))
-        .otherwise(F.concat(folder, F.lit("/"), F.regexp_replace(link, r"^(\./)+", "")))
+    own = F.regexp_extract(base, r"^[a-zA-Z][\w+.-]*://[^/?#]*(/[^?#]*)?", 1)
+    query = F.regexp_extract(ref, r"(\?.*)$", 1)
+    path = F.regexp_replace(ref, r"\?.*$", "")
+    folder = F.regexp_replace(F.when(own == "", "/").otherwise(own), r"[^/]*$", "")
+    other = F.regexp_extract(ref, r"^((?:[a-zA-Z][\w+.-]*:)?//[^/?#]*)", 1)
+    rest = F.regexp_replace(path, r"^(?:[a-zA-Z][\w+.-]*:)?//[^/?#]*", "")
+    dotted = F.when(rest == "", "").otherwise(_without_dots(rest))
+    return (
+        F.when(link.rlike(r"(?i)^\s*(?:#|mailto:|javascript:|data:|tel:|sms:|about:|news:)") | (ref == "") | base.isNull(), F.lit(None).cast("string"))
+        .when(ref.startswith("//"), F.concat(scheme, other, dotted, query))
+        .when(ref.rlike(r"^[a-zA-Z][\w+.-]*://"), F.concat(other, dotted, query))
+        .when(ref.rlike(r"^[a-zA-Z][\w+.-]*:[^\d]"), ref)
+        .when(ref.startswith("?"), F.concat(root, F.when(own == "", "/").otherwise(own), query))
+        .when(ref.startswith("/"), F.concat(root, _without_dots(path), query))
+        .otherwise(F.concat(root, _without_dots(F.concat(folder, path)), query))
     )
-    for _ in range(4):  # a/b/../c
-        u = F.regexp_replace(u, r"(?<![:/])/[^/]+/\.\./", "/")
-    return u
 
 
 def year_of(text: Column) -> Column:

@@ -19,10 +19,15 @@ from scriptorium.session import durable
 SLICES = 1024
 #: Rows from which a key counts as hot.
 HOT_ROWS = 10_000
-#: Most brackets sent to every worker; with more they are joined by a shuffle.
+#: Most brackets, and most hot keys, sent to every worker; with more they are joined by a shuffle.
 BROADCAST_BRACKETS = 1_000_000
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if its rows are counted as few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_BRACKETS else df
+
+
 def hot_keys(rows: DataFrame, key: str, least: int) -> DataFrame:
     """(key, n): keys with at least ``least`` rows. Null keys are left out."""
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least)
@@ -36,7 +41,7 @@ def select_ranks(values: DataFrame, targets: DataFrame, key: str, value: str, we
     key's rows have no row. ``weight`` counts a row several times. Exact. Nulls are left out.
     """
     v = values.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, F.col(value).cast("bigint").alias("v"), (F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")).alias("w"))
-    ends = v.join(F.broadcast(targets.select(key).distinct()), key, "left_semi").groupBy(key).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("w").alias("n"))
+    ends = v.join(_few(targets.select(key).distinct()), key, "left_semi").groupBy(key).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("w").alias("n"))
     state = targets.join(ends, key).where(F.col("rank").between(1, F.col("n")))
     state = state.select(key, F.col("rank").cast("bigint").alias("rank"), "lo", "hi", F.col("rank").cast("bigint").alias("left"))
     state = durable(state, "brackets")
@@ -77,7 +82,7 @@ def quantiles(rows: DataFrame, key: str, value: str, probabilities: list[float],
     wanted = hot.select(key, "n", p).withColumn("rank", F.greatest(F.lit(1), F.ceil(F.round(F.col("p") * F.col("n"), 9))).cast("bigint"))
     found = select_ranks(counts, wanted.select(key, "rank").distinct(), key, value, "c")
     far = wanted.join(found, [key, "rank"]).select(key, "p", value)
-    cold = counts.join(F.broadcast(hot.select(key)), key, "left_anti")
+    cold = counts.join(_few(hot.select(key)), key, "left_anti")
     w = Window.partitionBy(key).orderBy(value)
     upto = F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))
     total = F.sum("c").over(Window.partitionBy(key))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import join_url, scrub_url
@@ -40,10 +40,50 @@ def resolve(links: DataFrame, pages: DataFrame, page: str = "page_id", url: str
     return links.join(known, "dest_url", "left").withColumn("dest", F.coalesce("dest", F.concat(F.lit(prefix), "dest_url")))
 
 
-def anchor_documents(links: DataFrame) -> DataFrame:
-    """(dest_url, links, text): the anchor texts that point to an address, in order."""
-    g = links.groupBy("dest_url").agg(F.count("*").alias("links"), F.sort_array(F.collect_list("anchor")).alias("a"))
-    return g.select("dest_url", "links", F.array_join("a", " ").alias("text"))
+#: Most anchors in one row of ``anchor_documents``.
+ANCHORS = 10_000
+
+
+def anchor_documents(links: DataFrame, most: int = ANCHORS) -> DataFrame:
+    """(dest_url, part, links, text): the anchor texts that point to an address, in order.
+
+    An address with more than ``most`` links has several rows, of about half as many links each,
+    numbered by ``part``, so that no row grows with an address's fame; together the parts hold
+    every anchor once.
+    """
+    n = links.groupBy("dest_url").agg(F.count("*").alias("n")).where(F.col("n") > most)  # famous ones only
+    parts = n.select("dest_url", F.ceil(2.0 * F.col("n") / most).cast("int").alias("parts"))
+    x = links.select("dest_url", "page", "anchor").join(parts, "dest_url", "left")
+    x = x.withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("page", "anchor"), F.col("parts"))).cast("int"))
+    g = x.groupBy("dest_url", "part").agg(F.count("*").alias("links"), F.sort_array(F.collect_list("anchor")).alias("a"))
+    return g.select("dest_url", "part", "links", F.array_join("a", " ").alias("text"))
+
+
+def typed(links: DataFrame, kind: str = "link") -> DataFrame:
+    """(src, type, pos, dest): links by their source, kind and place among the source's links of
+    that kind; the table of a link index, one row for each. ``links(page, dest_url, ...)``."""
+    w = Window.partitionBy("page").orderBy("dest_url", "anchor")
+    return links.select(F.col("page").alias("src"), F.lit(kind).alias("type"), (F.row_number().over(w) - 1).alias("pos"), F.col("dest_url").alias("dest"))
+
+
+def harvest_lines(links: DataFrame, pages: DataFrame, page: str = "page_id", url: str = "url") -> DataFrame:
+    """(value): text blocks of the links to each page, as link harvests are exchanged: the target's
+    id and address and their number, then for each link its source's address, page and anchor. A
+    block per target and part of ``anchor_documents``'s size; write with ``write.text``."""
+    known = pages.where(F.col(url).isNotNull()).groupBy(scrub_url(F.col(url)).alias("dest_url")).agg(F.min(F.col(page).cast("string")).alias("dest"))
+    n = links.groupBy("dest_url").agg(F.count("*").alias("n")).where(F.col("n") > ANCHORS)
+    x = links.join(known, "dest_url").join(n.select("dest_url", F.ceil(2.0 * F.col("n") / ANCHORS).cast("int").alias("parts")), "dest_url", "left")
+    x = x.withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("page", "anchor"), F.col("parts"))).cast("int"))
+    row = F.concat(F.lit("LINKDOCNO="), F.col("page").cast("string"), F.lit("\nLINKFROM="), "src_url", F.lit("\nTEXT="), F.coalesce("anchor", F.lit("")))
+    g = x.groupBy("dest", "dest_url", "part").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(row)).alias("rows"))
+    return g.select(F.concat(F.lit("DOCNO="), "dest", F.lit("\n"), "dest_url", F.lit("\nLINKS="), F.col("n").cast("string"), F.lit("\n"), F.array_join("rows", "\n")).alias("value"))
+
+
+def rank_lines(scores: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(value) ``name score`` of page ranks, highest first; without names the node stands there."""
+    s = scores if names is None else scores.join(names, "node", "left")
+    name = F.coalesce(F.col("name"), F.col("node").cast("string")) if names is not None else F.col("node").cast("string")
+    return s.orderBy(F.desc("score"), "node").select(F.concat_ws(" ", name, F.format_string("%.10f", "score")).alias("value"))
 
 
 def add_text(documents: DataFrame, additional: DataFrame, docid: str = "docid", text: str = "text") -> DataFrame:

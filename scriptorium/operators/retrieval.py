@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 from scriptorium.functions import scoring as S
 from scriptorium.functions.text import STOPWORDS
 from scriptorium.operators.index import Index, merge
-from scriptorium.plans.query import Node, parse, walk, weights_of
+from scriptorium.plans.query import Node, parse, transform, walk, weights_of
 from scriptorium.plans.rewrites import rewrite
-from scriptorium.plans.tree import TreePlan
+from scriptorium.plans.tree import TreePlan, _Context
 from scriptorium.session import durable
 
+#: Most rows of results sent to every worker for their names.
+BROADCAST_RESULTS = 200_000
 _LEAF = "qid string, leaf string, weight double, scorer string, p1 double, p2 double"
 _DEFINITION = "leaf string, form string, width int, part string, child int, children int, term string"
 #: First and second parameter of each scorer, with defaults. Fixed values.
@@ -53,11 +55,14 @@ class Engine:
         return rewrite(n, {**self.params, **params}, self._stats)
 
     def named(self, result: DataFrame) -> DataFrame:
-        """``result`` (a top-k list, written once) with names. The list is broadcast to the table
-        of names, which is scanned but never shuffled."""
+        """``result`` (a top-k list, written once) with names. A list of up to
+        ``BROADCAST_RESULTS`` rows is broadcast to the table of names, which is then scanned but
+        never shuffled."""
         top = durable(result, "top")
-        own = self.index.names.join(F.broadcast(top.select("docid").distinct()), "docid", "left_semi")
-        return top.join(F.broadcast(own), "docid", "left")
+        few = top.count() <= BROADCAST_RESULTS
+        send = F.broadcast if few else (lambda x: x)
+        own = self.index.names.join(send(top.select("docid").distinct()), "docid", "left_semi")
+        return top.join(send(own), "docid", "left")
 
     def search(self, query: str | Node, k: int = 1000, working_set: DataFrame | None = None, explain: bool = False, **params) -> DataFrame:
         """(docid, score, rank, name[, leaves]) of one query; any operator may be used."""
@@ -110,17 +115,20 @@ class Engine:
         return rows, defs
 
     def search_batch(self, queries: dict[str, str | Node], k: int = 1000, **params) -> DataFrame:
-        """(qid, docid, score, rank) of all queries in one job; queries that aren't weighted sums
-        of terms and windows are planned one by one."""
+        """(qid, docid, score, rank) of all queries; those that are weighted sums of terms and
+        windows make one job, the others are planned one by one beside it."""
         spark = self.index.postings.sparkSession
-        both = self.leaves(queries, **params)
-        if both is None:
-            out = None
-            for qid, q in queries.items():
-                one = top_k(self.trees.scored(self.plan(q, **params)), k).select(F.lit(str(qid)).alias("qid"), "docid", "score", "rank")
+        plans = {str(q): self.plan(t, **params) for q, t in queries.items()}
+        flat = {q: n for q, n in plans.items() if _flat(n, 1.0) is not None}
+        out = None
+        if flat or not plans:
+            rows, defs = self.leaves(flat, **params)
+            out = self.score_leaves(spark.createDataFrame(rows, _LEAF), spark.createDataFrame(defs, _DEFINITION), k, any(r[1] != "term" for r in defs), sorted({(r[3], r[6]) for r in defs}))
+        for q, n in plans.items():
+            if q not in flat:
+                one = top_k(self.trees.scored(n), k).select(F.lit(q).alias("qid"), "docid", "score", "rank")
                 out = one if out is None else out.unionByName(one)
-            return out
-        return self.score_leaves(spark.createDataFrame(both[0], _LEAF), spark.createDataFrame(both[1], _DEFINITION), k, any(r[1] != "term" for r in both[1]), sorted({(r[3], r[6]) for r in both[1]}))
+        return out
 
     def score_leaves(self, leaves: DataFrame, definitions: DataFrame, k: int, windows: bool = True, known: list[tuple[str, str]] | None = None) -> DataFrame:
         c = self.trees.collection()
@@ -129,11 +137,12 @@ class Engine:
         stats = counts.groupBy("leaf").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
         full = leaves.join(stats, "leaf", "left").fillna({"cf": 0, "df": 0})
         cf, df = F.col("cf").cast("double"), F.col("df").cast("double")
-        smooth = F.col("scorer").isin("dirichlet", "jm")
         bg = S.background(cf, c.length)
         lone = F.when(F.col("scorer") == "dirichlet", F.log(F.col("p1") * bg)).when(F.col("scorer") == "jm", F.log((1.0 - F.col("p1")) * bg)).otherwise(0.0)
-        # what a document without any leaf would get: lone - mass x log(length + mu)
-        base = full.groupBy("qid").agg(F.sum(F.col("weight") * lone).alias("lone"), F.sum(F.when(F.col("scorer") == "dirichlet", F.col("weight")).otherwise(0.0)).alias("mass"), F.max(F.when(F.col("scorer") == "dirichlet", F.col("p1")).otherwise(1.0)).alias("mu"))
+        # what a document without any leaf would get: lone - the sum of mass x log(length + mu),
+        # mass by mu, since leaves of one query may be smoothed differently
+        mass = F.when(F.col("scorer") == "dirichlet", F.struct(F.col("p1").alias("mu"), F.col("weight").alias("mass")))
+        base = full.groupBy("qid").agg(F.sum(F.col("weight") * lone).alias("lone"), F.collect_list(mass).alias("masses"))
         j = counts.join(F.broadcast(full), "leaf")
         tf, dl = F.col("tf").cast("double"), F.col("length").cast("double")
         p1, p2, n, mean = F.col("p1"), F.col("p2"), c.documents, c.mean_length
@@ -146,10 +155,10 @@ class Engine:
             .when(F.col("scorer") == "inl2", S.inl2(tf, dl, df, n, mean, p1))
             .otherwise(S.bil2(tf, dl, df, n, mean, p1))
         )
-        del smooth
         s = j.groupBy("qid", "docid").agg(F.sum(F.col("weight") * own).alias("own"), F.first("length").alias("length"))
         s = s.join(F.broadcast(base), "qid")
-        score = F.col("own") + F.col("lone") - F.col("mass") * F.log(F.col("length") + F.col("mu"))
+        lost = F.aggregate("masses", F.lit(0.0), lambda x, m: x + m["mass"] * F.log(F.col("length") + m["mu"]))
+        score = F.col("own") + F.col("lone") - lost
         return top_k(s.select("qid", "docid", score.alias("score")), k, by=("qid",))
 
     def feedback_terms(self, queries: dict[str, str], fb_docs: int = 20, fb_terms: int = 100, stopwords: list[str] | None = None, **params) -> DataFrame:
@@ -190,7 +199,48 @@ class Engine:
         old = spark.createDataFrame(both[0], _LEAF).withColumn("weight", F.col("weight") * fb_weight)
         defs = terms.select(leaf.alias("leaf"), F.lit("term").alias("form"), F.lit(0).alias("width"), F.lit("postings").alias("part"), F.lit(0).alias("child"), F.lit(1).alias("children"), "term").distinct()
         all_defs = spark.createDataFrame(both[1], _DEFINITION).unionByName(defs).distinct()
-        return self.score_leaves(old.unionByName(more), all_defs, k, any(r[1] != "term" for r in both[1]))
+        known = None
+        if terms.select("term").distinct().count() <= SCAN_TERMS:
+            known = sorted({(r[3], r[6]) for r in both[1]} | {("postings", r["term"]) for r in terms.select("term").distinct().collect()})
+        return self.score_leaves(old.unionByName(more), all_defs, k, any(r[1] != "term" for r in both[1]), known)
+
+    def with_relevance(self, query: str | Node, relevant: DataFrame, **params) -> Node:
+        """The query's tree with ``R`` and ``rt`` of every ``#bm25rf`` counted in ``relevant(docid)``:
+        judged documents, or the best of a first pass."""
+        tree = self.plan(query, **params)
+        wanted = [n for n in walk(tree) if n.op == "bm25rf"]
+        if not wanted:
+            return tree
+        r = relevant.select("docid").distinct()
+        rows = self.trees.rows(tree).join(r, "docid", "left_semi")
+        got = rows.agg(*[F.count_if(self.trees.matches(n.children[0], _Context())).alias(f"c{i}") for i, n in enumerate(wanted)]).first()
+        total = r.count()
+        counted = {n: got[f"c{i}"] for i, n in enumerate(wanted)}
+        return transform(tree, lambda n: n.with_params(R=total, rt=counted[n]) if n in counted else n)
+
+    def field_weights(self, query: str | Node, fields: list[str], relevant: DataFrame) -> dict[str, float]:
+        """Share of each field in the occurrences of the query's terms in relevant documents."""
+        words = sorted({str(n.get("default")) for n in walk(parse(query) if isinstance(query, str) else query) if n.op == "text"})
+        p = self.index.postings.where(F.col("part").isin([f"field.{f}" for f in fields]) & F.col("term").isin(words)).join(relevant.select("docid").distinct(), "docid", "left_semi")
+        n = {r["part"][6:]: r["n"] for r in p.groupBy("part").agg(F.sum("tf").alias("n")).collect()}
+        total = sum(n.values())
+        return {f: n.get(f, 0) / total if total else 1.0 / len(fields) for f in fields}
+
+    def expand(self, model: str, queries: dict[str, str], k: int = 1000, **params) -> DataFrame:
+        """Feedback by a model's name: ``rm1`` the feedback terms alone, ``rm3`` (also ``rm``)
+        mixed with the query."""
+        if model not in EXPANSIONS:
+            raise ValueError(f"unknown expansion model {model}")
+        return EXPANSIONS[model](self, queries, k, **params)
+
+    def nonempty(self, query: str | Node, k: int = 1000, **params) -> DataFrame:
+        """As ``search``, without documents of length 0."""
+        return self.search(query, k, working_set=self.index.lengths.where((F.col("field") == "document") & (F.col("length") > 0)), **params)
+
+    def two_pass_passages(self, first: str, second: str, size: int, shift: int, k: int = 1000, working: int = 2000, **params) -> DataFrame:
+        """Passages by ``second`` of the best ``working`` documents of ``first`` only."""
+        ws = top_k(self.trees.scored(self.plan(first, **params)), working).select("docid")
+        return self.passages(second, size, shift, k, working_set=ws, **params)
 
 
 def _flat(n: Node, w: float) -> list[tuple[Node, float]] | None:
@@ -281,4 +331,12 @@ class Group:
 
 
 #: Ranking algorithms by name; users add their own.
-STRATEGIES: dict[str, Callable] = {"rank": Engine.search, "set": Engine.boolean, "passages": Engine.passages, "two-pass": Engine.two_pass}
+STRATEGIES: dict[str, Callable] = {
+    "rank": Engine.search, "rank-nonempty": Engine.nonempty, "set": Engine.boolean, "passages": Engine.passages, "two-pass": Engine.two_pass, "two-pass-passages": Engine.two_pass_passages,
+}
+#: Expansion models by name; users add their own.
+EXPANSIONS: dict[str, Callable] = {
+    "rm1": lambda e, q, k, **p: e.search_feedback(q, k, **{**p, "fb_weight": 0.0}),
+    "rm3": lambda e, q, k, **p: e.search_feedback(q, k, **p),
+    "rm": lambda e, q, k, **p: e.search_feedback(q, k, **p),
+}

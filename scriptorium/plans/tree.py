@@ -177,7 +177,7 @@ class TreePlan:
         if n.op == "inside":
             return W.inside(c[0], c[1])
         if n.op == "passagefilter":
-            return c[0]
+            return x.whole(self.extents(n.children[-1], _Context()))
         if n.op in MIXED:
             keep = self.condition(n.children[0], x)
             return F.when(keep if n.op == "require" else ~keep, c[-1]).otherwise(W.none())
@@ -378,3 +378,7 @@ class _Context:
 
     def clipped(self, extents: Column) -> Column:
         return extents if self.begin is None else W.clip(extents, self.begin, self.end)
+
+    def whole(self, extents: Column) -> Column:
+        """Only the extents that lie in the passage from begin to end."""
+        return extents if self.begin is None else F.filter(extents, lambda e: (e["begin"] >= self.begin) & (e["end"] <= self.end))

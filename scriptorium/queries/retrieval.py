@@ -24,7 +24,7 @@ q AS ({leaves}),
 nst AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM {counts} GROUP BY term),
 cand AS (SELECT DISTINCT qid, docid FROM {counts} JOIN q USING (term)),
 s AS (SELECT qid, docid, sum(w * ({expr})) AS score FROM (
-  SELECT cand.qid, cand.docid, q.w, coalesce(p.tf, 0) AS tf, len.dl, coalesce(nst.cf, 0) AS cf, coalesce(nst.df, 0) AS df, col.n, col.c, col.avgdl
+  SELECT cand.qid, cand.docid, q.term, q.w, coalesce(p.tf, 0) AS tf, len.dl, coalesce(nst.cf, 0) AS cf, coalesce(nst.df, 0) AS df, col.n, col.c, col.avgdl
   FROM cand JOIN q USING (qid) LEFT JOIN {counts} p ON p.docid = cand.docid AND p.term = q.term LEFT JOIN nst ON nst.term = q.term JOIN len ON len.docid = cand.docid, col) GROUP BY qid, docid),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM s)
 SELECT qid, docid, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= {k}"""
@@ -102,6 +102,28 @@ def weighted_combine(spark, d):
     return rounded(engine(spark, d).search_batch({"w": "#combine:0=6:1=3:2=1( harvest market levy )"}, 10), "score")
 
 
+_MU = "(CASE WHEN term = 'harvest' THEN 10.0 ELSE 2000.0 END)"
+
+
+@query("mixed_mu_topk", _ranked(f"ln((tf + {_MU} * ({_BG})) / (dl + {_MU}))", "SELECT 'm' AS qid, * FROM (VALUES ('harvest', 0.5), ('market', 0.5)) AS q(term, w)"))
+def mixed_mu_topk(spark, d):
+    """Leaves of one query with smoothing of their own."""
+    return rounded(engine(spark, d).search_batch({"m": "#combine( #dirichlet:mu=10( harvest ) #dirichlet:mu=2000( market ) )"}, 10), "score")
+
+
+@query(
+    "mixed_scorers_topk",
+    _ranked(
+        f"CASE WHEN term = 'harvest' THEN ln((tf + 0.5 * ({_BG})) / (dl + 0.5)) WHEN term = 'market' THEN {_bm25(_CLASSIC)} ELSE ln(CASE WHEN dl > 0 THEN 0.5 * tf / dl ELSE 0 END + 0.5 * ({_BG})) END",
+        "SELECT 'm' AS qid, * FROM (VALUES ('harvest', 1.0 / 3), ('market', 1.0 / 3), ('levy', 1.0 / 3)) AS q(term, w)",
+    ),
+)
+def mixed_scorers_topk(spark, d):
+    """Different scoring functions in one query, and a query beside it that needs the tree plan."""
+    r = engine(spark, d).search_batch({"m": "#combine( #dirichlet:mu=0.5( harvest ) #bm25( market ) #jm( levy ) )", "t": "#require( zznone #combine( harvest ) )"}, 10)
+    return rounded(r, "score")
+
+
 def _one(spark, d, q, k=10, **params):
     return rounded(engine(spark, d).search(q, k, **params).select("docid", "score", "rank"), "score")
 
@@ -286,7 +308,7 @@ def field_date(spark, d):
 
 @query(
     "prior_combine",
-    f"""WITH {TOKENS}, pr AS (SELECT docid, CASE WHEN dl > 150 THEN -0.5 ELSE -1.5 END AS v FROM len WHERE docid % 2 = 0),
+    f"""WITH {TOKENS}, pr AS (SELECT docid, CASE WHEN dl > 150 THEN -0.5 ELSE -1.5 END AS v FROM len WHERE dl > 60),
 cand AS (SELECT docid FROM post WHERE term = 'harvest' UNION SELECT docid FROM pr),
 s AS (SELECT cand.docid, 0.5 * coalesce(v, -2.0) + 0.5 * ln((coalesce(tf, 0) + 1500.0 * (SELECT cf / c FROM stat, col WHERE term = 'harvest')) / (dl + 1500.0)) AS score
   FROM cand LEFT JOIN pr USING (docid) LEFT JOIN post ON post.docid = cand.docid AND term = 'harvest' JOIN len ON len.docid = cand.docid)
@@ -410,39 +432,116 @@ def mlm_topk(spark, d):
     return rounded(e.search("#mlm:fields=@/title,text/( harvest market )", 10).select("docid", "score", "rank"), "score")
 
 
-@query("prms_topk")
+_MIXED = "coalesce(tf, 0) + 1500.0 * (CASE WHEN coalesce(fst.cf, 0) > 0 THEN fst.cf / fc.c ELSE 0.5 / fc.c END)"
+_FJOIN = """FROM cand, w, ff JOIN fc USING (f) LEFT JOIN fst ON fst.f = ff.f AND fst.term = w.term
+  LEFT JOIN fp ON fp.docid = cand.docid AND fp.term = w.term AND fp.f = ff.f LEFT JOIN fl ON fl.docid = cand.docid AND fl.f = ff.f"""
+
+
+@query(
+    "prms_topk",
+    f"""{_FIELDS}, cand AS (SELECT DISTINCT docid FROM fp), sh AS (SELECT f, term, (cf / c) / sum(cf / c) OVER (PARTITION BY term) AS share FROM fst JOIN fc USING (f)),
+t AS (SELECT cand.docid, w.term, ln(sum(coalesce(share, 0) * ({_MIXED}) / (coalesce(fl.dl, 0) + 1500.0))) AS x {_FJOIN} LEFT JOIN sh ON sh.f = ff.f AND sh.term = w.term GROUP BY ALL),
+s AS (SELECT docid, avg(x) AS score FROM t GROUP BY docid){_FTAIL}""",
+)
 def prms_topk(spark, d):
     e = field_engine(spark, d)
     return rounded(e.search("#prms:fields=@/title,text/( harvest market )", 10).select("docid", "score", "rank"), "score")
 
 
-@query("pl2f_topk")
+_FTFN = "(tf * log2(1.0 + fc.avgdl / fl.dl))"
+
+
+@query(
+    "pl2f_topk",
+    f"""{_FIELDS}, cand AS (SELECT DISTINCT docid FROM fp),
+t AS (SELECT cand.docid, CASE WHEN tf > 0 THEN greatest(0.0, ({_FTFN} * log2(n / fst.cf) + fst.cf / n * log2(exp(1)) + 0.5 * log2(2 * pi() * {_FTFN}) + {_FTFN} * (log2({_FTFN}) - log2(exp(1)))) / ({_FTFN} + 1.0)) ELSE 0.0 END AS x {_FJOIN}, col),
+s AS (SELECT docid, sum(0.5 * x) AS score FROM t GROUP BY docid){_FTAIL}""",
+)
 def pl2f_topk(spark, d):
     e = field_engine(spark, d)
     return rounded(e.search("#pl2f:fields=@/title,text/( harvest market )", 10).select("docid", "score", "rank"), "score")
 
 
-@query("fieldedsdm_topk")
+_FSDM = (
+    _FIELDS.replace(", w AS (SELECT", ", w0 AS (SELECT").replace("fst AS (SELECT f, term, sum(tf) AS cf FROM fp GROUP BY f, term),\nw AS", "fst0 AS (SELECT 1),\nw0 AS").replace("fp AS (SELECT f, tok.docid", "fp0 AS (SELECT f, tok.docid")
+    + """, span AS (
+  SELECT 'od' AS term, a.docid, a.pos AS b, a.pos + 2 AS e FROM tok a JOIN tok b ON a.docid = b.docid AND b.pos = a.pos + 1 WHERE a.term = 'harvest' AND b.term = 'market'
+  UNION ALL SELECT 'uw' AS term, docid, pos AS b, greatest(x, y) + 1 AS e FROM (
+    SELECT p.docid, p.pos, min(CASE WHEN t.term = 'harvest' THEN t.pos END) AS x, min(CASE WHEN t.term = 'market' THEN t.pos END) AS y
+    FROM (SELECT DISTINCT docid, pos FROM tok WHERE term IN ('harvest', 'market')) p JOIN tok t ON t.docid = p.docid AND t.pos >= p.pos WHERE t.term IN ('harvest', 'market') GROUP BY p.docid, p.pos)
+  WHERE x IS NOT NULL AND y IS NOT NULL AND greatest(x, y) + 1 - pos <= 8),
+fp AS (SELECT * FROM fp0 UNION ALL SELECT f, span.docid, term, count(DISTINCT span.b) AS tf FROM span JOIN ext ON ext.docid = span.docid AND ext.b <= span.b AND span.e <= ext.e GROUP BY ALL),
+fst AS (SELECT f, term, sum(tf) AS cf FROM fp GROUP BY f, term), w AS (SELECT * FROM (VALUES ('harvest', 0.8), ('market', 0.8), ('od', 0.1), ('uw', 0.1)) AS q(term, k))"""
+)
+
+
+@query(
+    "fieldedsdm_topk",
+    f"""{_FSDM}, cand AS (SELECT DISTINCT docid FROM fp),
+t AS (SELECT cand.docid, w.term, w.k, ln(sum(0.5 * ({_MIXED}) / (coalesce(fl.dl, 0) + 1500.0))) AS x {_FJOIN} GROUP BY ALL),
+s AS (SELECT docid, sum(k * x) AS score FROM t GROUP BY docid){_FTAIL}""",
+)
 def fieldedsdm_topk(spark, d):
     e = field_engine(spark, d)
     return rounded(e.search("#fieldedsdm:fields=@/title,text/( harvest market )", 10).select("docid", "score", "rank"), "score")
 
 
-@query("fdm_wsdm_pdfr")
+_UW3 = """ (SELECT docid, count(*) AS tf FROM (
+  SELECT p.docid, p.pos, min(CASE WHEN t.term = '{0}' THEN t.pos END) AS x, min(CASE WHEN t.term = '{1}' THEN t.pos END) AS y, min(CASE WHEN t.term = '{2}' THEN t.pos END) AS z
+  FROM (SELECT DISTINCT docid, pos FROM tok WHERE term IN ('{0}', '{1}', '{2}')) p JOIN tok t ON t.docid = p.docid AND t.pos >= p.pos WHERE t.term IN ('{0}', '{1}', '{2}') GROUP BY p.docid, p.pos)
+  WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND greatest(x, y, z) + 1 - pos <= {3} GROUP BY docid)"""
+_OD3 = """ (SELECT a.docid, count(*) AS tf FROM tok a JOIN tok b ON a.docid = b.docid AND b.pos = a.pos + 1 JOIN tok c ON a.docid = c.docid AND c.pos = a.pos + 2 WHERE a.term = '{0}' AND b.term = '{1}' AND c.term = '{2}' GROUP BY a.docid)"""
+_THREE = ("the", "market", "harvest")
+_PAIRS = [("the", "market"), ("the", "harvest"), ("market", "harvest")]
+_DEP_COUNTS = (
+    ", win AS (SELECT docid, term, tf FROM post WHERE term IN ('market', 'the', 'harvest')"
+    + "".join(f" UNION ALL SELECT docid, 'od {a} {b}' AS term, tf FROM{_OD.format(a, b, 1)} UNION ALL SELECT docid, 'uw {a} {b}' AS term, tf FROM{_UW.format(a, b, 8)}" for a, b in _PAIRS)
+    + f" UNION ALL SELECT docid, 'od3' AS term, tf FROM{_OD3.format(*_THREE)} UNION ALL SELECT docid, 'uw3' AS term, tf FROM{_UW3.format(*_THREE, 12)})"
+)
+_DEP_LEAVES = (
+    [("fdm", t, 0.8 / 3) for t in _THREE] + [("fdm", f"{o} {a} {b}", w / 4) for a, b in _PAIRS for o, w in (("od", 0.15), ("uw", 0.05))] + [("fdm", "od3", 0.15 / 4), ("fdm", "uw3", 0.05 / 4)]
+    + [("wsdm", t, 0.8) for t in _THREE] + [("wsdm", f"{o} {a} {b}", 0.1) for a, b in (_PAIRS[0], _PAIRS[2]) for o in ("od", "uw")] + [("pdfr", t, 1.0) for t in _THREE]
+)
+_DEP_VALUES = ", ".join(f"('{q}', '{t}', {w!r})" for q, t, w in _DEP_LEAVES)
+_TFN6 = "(tf * log2(1.0 + 6.0 * avgdl / dl))"
+_PL2_6 = f"CASE WHEN tf > 0 THEN greatest(0.0, ({_TFN6} * log2(n / cf) + cf / n * log2(exp(1)) + 0.5 * log2(2 * pi() * {_TFN6}) + {_TFN6} * (log2({_TFN6}) - log2(exp(1)))) / ({_TFN6} + 1.0)) ELSE 0.0 END"
+
+
+@query("fdm_wsdm_pdfr", _ranked(f"CASE WHEN qid = 'pdfr' THEN {_PL2_6} ELSE {_DIRICHLET} END", f"SELECT * FROM (VALUES {_DEP_VALUES}) AS q(qid, term, w)", counts="win", more=_DEP_COUNTS))
 def fdm_wsdm_pdfr(spark, d):
     """Three expansions of one query as one batch."""
     e = engine(spark, d)
     return rounded(e.search_batch({"fdm": "#fdm( the market harvest )", "wsdm": "#wsdm( the market harvest )", "pdfr": "#pdfr( the market harvest )"}, 10), "score")
 
 
-@query("explained_topk")
+_EXPLAINED = [("#dirichlet( #text:market() )", "market", 0.4), ("#dirichlet( #text:harvest() )", "harvest", 0.4), ("#dirichlet( #ordered:1( #text:market() #text:harvest() ) )", "od", 0.15), ("#dirichlet( #unordered:8( #text:market() #text:harvest() ) )", "uw", 0.05)]
+_EXPLAINED_VALUES = ", ".join(f"('{n}', '{t}', {w})" for n, t, w in _EXPLAINED)
+
+
+@query(
+    "explained_topk",
+    f"""WITH {TOKENS}, win AS (SELECT docid, term, tf FROM post WHERE term IN ('market', 'harvest') UNION ALL SELECT docid, 'od' AS term, tf FROM{_OD.format('market', 'harvest', 1)} UNION ALL SELECT docid, 'uw' AS term, tf FROM{_UW.format('market', 'harvest', 8)}),
+q AS (SELECT * FROM (VALUES {_EXPLAINED_VALUES}) AS q(node, term, w)), nst AS (SELECT term, sum(tf) AS cf FROM win GROUP BY term),
+x AS (SELECT c.docid, node, w, coalesce(p.tf, 0) AS tf, {_DIRICHLET.replace('tf', 'coalesce(p.tf, 0)', 1)} AS score FROM (SELECT DISTINCT docid FROM win) c CROSS JOIN q LEFT JOIN win p ON p.docid = c.docid AND p.term = q.term LEFT JOIN nst ON nst.term = q.term JOIN len ON len.docid = c.docid, col),
+r AS (SELECT docid, row_number() OVER (ORDER BY sum(w * score) DESC, docid) AS rank FROM x GROUP BY docid)
+SELECT docid, CAST(rank AS INTEGER) AS rank, node, CAST(tf AS BIGINT) AS tf, round(score, 6) AS score FROM x JOIN r USING (docid) WHERE rank <= 5""",
+)
 def explained_topk(spark, d):
     r = engine(spark, d).search("#sdm( market harvest )", 5, explain=True)
     x = r.select("docid", "rank", F.explode("leaves").alias("leaf"))
     return x.select("docid", "rank", "leaf.node", F.col("leaf.tf").cast("bigint").alias("tf"), F.round("leaf.score", 6).alias("score"))
 
 
-@query("extent_passages")
+@query(
+    "extent_passages",
+    f"""WITH {TOKENS}, ext AS (SELECT DISTINCT doc_id AS docid, t.tok_begin AS b, t.tok_end AS e FROM (SELECT doc_id, unnest(tags) AS t FROM documents) WHERE lower(t.name) = 'li' AND t.tok_end > t.tok_begin),
+sp AS (SELECT docid, b, e, lead(e) OVER w AS e2, row_number() OVER w AS k, count(*) OVER (PARTITION BY docid) AS n FROM ext WINDOW w AS (PARTITION BY docid ORDER BY b, e)),
+pas AS (SELECT docid, b, greatest(e, coalesce(e2, e)) AS e FROM sp WHERE k <= greatest(1, n - 1) AND docid IN (SELECT docid FROM post WHERE term IN ('market', 'harvest'))),
+q AS (SELECT term, cf / c AS bg FROM stat, col WHERE term IN ('market', 'harvest')),
+s AS (SELECT docid, b, e, sum(0.5 * ln((k + 1500.0 * bg) / (e - b + 1500.0))) AS score FROM (
+  SELECT pas.docid, pas.b, pas.e, q.bg, count(tok.pos) AS k FROM pas CROSS JOIN q LEFT JOIN tok ON tok.docid = pas.docid AND tok.term = q.term AND tok.pos >= pas.b AND tok.pos < pas.e GROUP BY ALL) GROUP BY ALL)
+SELECT docid, b AS begin, e AS "end", round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, docid, b) AS rank FROM s) WHERE rank <= 10""",
+)
 def extent_passages(spark, d):
     e = engine(spark, d)
     from scriptorium.operators.retrieval import top_k

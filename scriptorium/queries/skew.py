@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from scriptorium.operators import hotkeys
 from scriptorium.queries.registry import query
 from scriptorium.session import load
@@ -21,16 +23,23 @@ def p5_found(spark, d):
     return hotkeys.heaviest_record(load(spark, d, "postings"))
 
 
-@query(
-    "p5_docid_quantiles",
-    """
+_QUANTILES = """
 WITH x AS (SELECT lower(trim(term, ' ')) AS term, docid FROM postings WHERE term IS NOT NULL AND docid IS NOT NULL),
 r AS (SELECT term, docid, row_number() OVER (PARTITION BY term ORDER BY docid) AS k, count(*) OVER (PARTITION BY term) AS n FROM x),
 p AS (SELECT unnest([0.25, 0.5, 0.9]) AS p)
-SELECT term, CAST(p AS DOUBLE) AS p, docid FROM r, p WHERE k = greatest(1, ceil(round(p * n, 9)))""",
-)
+SELECT term, CAST(p AS DOUBLE) AS p, docid FROM r, p WHERE k = greatest(1, ceil(round(p * n, 9)))"""
+
+
+@query("p5_docid_quantiles", _QUANTILES)
 def p5_docid_quantiles(spark, d):
-    from pyspark.sql import functions as F
+    return hotkeys.quantiles(_terms(spark, d), "term", "docid", [0.25, 0.5, 0.9])
+
+
+@query("p5_quantiles_hot", _QUANTILES)
+def p5_quantiles_hot(spark, d):
+    """The same with so low a bound that histograms decide also in small tables."""
+    return hotkeys.quantiles(_terms(spark, d), "term", "docid", [0.25, 0.5, 0.9], hot_rows=100)
+
 
-    x = load(spark, d, "postings").select(F.lower(F.trim("term")).alias("term"), "docid")
-    return hotkeys.quantiles(x, "term", "docid", [0.25, 0.5, 0.9])
+def _terms(spark, d):
+    return load(spark, d, "postings").select(F.lower(F.trim("term")).alias("term"), "docid")

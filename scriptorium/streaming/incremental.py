@@ -116,8 +116,11 @@ def streamed_term_counts(stream: DataFrame, docid: str = "doc_id", text: str = "
     as long as a document arrives once."""
     from scriptorium.functions.text import simple_tokens
 
-    t = stream.select(F.explode(simple_tokens(F.col(text))).alias("term"), F.col(docid).alias("docid"))
-    return t.groupBy("term").agg(F.count("*").alias("cf"))
+    t = stream.where(F.col(docid).isNotNull()).select(simple_tokens(F.col(text)).alias("t"))
+    # a document's words are counted in its own row, so that no state per document is kept
+    each = t.select(F.explode(F.array_distinct("t")).alias("term"), "t")
+    own = F.size(F.filter("t", lambda x: x == F.col("term"))).cast("bigint")
+    return each.select("term", own.alias("tf")).groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
 
 
 __all__ = ["TABLES", "GrowingIndex", "streamed_term_counts"]

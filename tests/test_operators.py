@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import join_url
 from scriptorium.operators import evaluation as E
 from scriptorium.operators import hotkeys, links, ngrams
 from scriptorium.operators.index import dense_ids
@@ -98,7 +99,7 @@ def test_link_extraction(spark):
     assert [(r["dest_url"], r["anchor"], r["nofollow"]) for r in x.collect()] == [("http://h.example/x/b.html", "to b now", False), ("http://h.example/c", "c", False), ("http://other.example", "o", True)]
     assert links.extract(df, drop_nofollow=True).count() == 2
     assert sorted(r["dest"] for r in links.resolve(x, df).collect()) == ["3", "ext:http://h.example/c", "ext:http://other.example"]
-    assert links.anchor_documents(x).where("links = 1").count() == 3
+    assert links.anchor_documents(x).where("links = 1 and part = 0").count() == 3
 
 
 def _run(spark, rows):
@@ -123,10 +124,77 @@ def test_metrics_by_hand(spark):
 
 
 def test_average_precision_golden(spark):
-    rel = {"1": range(10), "3": range(10)}
-    qrels = E.judgments(spark.createDataFrame([(q, str(d), 1) for q, ds in rel.items() for d in ds], "qid string, docno string, grade int"))
-    r = E.evaluate(_run(spark, [(q, str(d), d + 1) for q in rel for d in range(10)]), qrels)
-    assert [x["ap"] for x in r.collect()] == [1.0, 1.0]
+    """Ten answers in order of their numbers; which of them are relevant, and the average precision."""
+    cases = {"1": ("01234", 1.000), "2": ("56789", 0.354), "3": ("01234", 1.000), "4": ("014589", 0.737)}
+    judged = [(q, d, int(d in rel)) for q, (rel, _) in cases.items() for d in "0123456789" if q != "1" or d in rel]
+    r = E.evaluate(_run(spark, [(q, d, int(d) + 1) for q in cases for d in "0123456789"]), E.judgments(spark.createDataFrame(judged, "qid string, docno string, grade int")))
+    assert {x["qid"]: round(x["ap"], 3) for x in r.collect()} == {q: v for q, (_, v) in cases.items()}
+
+
+#: Twelve pages: whom each links to, self-links, repeated links and addresses of no page included; and
+#: their ranks after ten rounds with lambda 0.5. Fixed values.
+PAGES = {0: "0 1 3 5 7 9", 1: "0 2 4 6 8 ext.100 ext.101", 2: "0 1 2 3 4 5", 3: "5 6 7 8 9", 4: "0 1 1 2 3 5 8", 5: "5 5 5 5 5", 6: "0 0 0 0 0", 7: "0 1 3 5 7 9", 8: "0 2 4 6 8", 9: "", 10: "", 11: "0 1 2"}
+RANKS = (0.140445, 0.100920, 0.084882, 0.086737, 0.079188, 0.095410, 0.079373, 0.073878, 0.075582, 0.081266, 0.051160, 0.051160)
+
+
+def _web(spark):
+    rows = [(i, f"http://web.example/{i}", " ".join(f'<a href="/{x}">to {x}</a>' for x in to.split())) for i, to in PAGES.items()]
+    return spark.createDataFrame(rows, "page_id bigint, url string, html string")
+
+
+def test_page_rank_golden(spark):
+    web = _web(spark)
+    e = links.resolve(links.extract(web), web).select(F.col("page").cast("string").alias("src"), F.col("dest").alias("dst"))
+    r = links.pagerank(e, web.select(F.col("page_id").cast("string").alias("node")), 0.5, 1e-9, 10)
+    assert {int(x["node"]): x["score"] for x in r.collect()} == pytest.approx(dict(enumerate(RANKS)), abs=2e-6)
+    lines = [x["value"].split() for x in links.rank_lines(r).collect()]
+    assert [int(x[0]) for x in lines[:4]] == [0, 1, 5, 3] and float(lines[0][1]) == pytest.approx(RANKS[0], abs=2e-6)
+
+
+def test_link_tables(spark):
+    web = _web(spark)
+    x = links.extract(web)
+    t = links.typed(x)
+    assert sorted((r["src"], r["pos"]) for r in t.collect()) == sorted((i, k) for i, to in PAGES.items() for k in range(len(to.split())))
+    blocks = {b["value"].split("\n")[0]: b["value"].split("\n") for b in links.harvest_lines(x, web).collect()}
+    to = [d for p in PAGES.values() for d in p.split()]
+    assert {k: v[2] for k, v in blocks.items()} == {f"DOCNO={d}": f"LINKS={to.count(d)}" for d in set(to) if d.isdigit()}
+    assert blocks["DOCNO=9"][1] == "http://web.example/9" and len(blocks["DOCNO=9"]) == 3 + 3 * to.count("9") and blocks["DOCNO=9"][3:6] == ["LINKDOCNO=0", "LINKFROM=http://web.example/0", "TEXT=to 9"]
+
+
+def test_anchors_of_famous_pages(spark):
+    rows = [(i, "http://a.example", "http://b.example" if i % 3 else "http://c.example", f"word{i}", False) for i in range(300)]
+    x = spark.createDataFrame(rows, "page bigint, src_url string, dest_url string, anchor string, nofollow boolean")
+    whole = {r["dest_url"]: (r["links"], r["text"]) for r in links.anchor_documents(x).collect()}
+    parts = links.anchor_documents(x, most=20).collect()
+    assert max(r["links"] for r in parts) <= 20 and len({(r["dest_url"], r["part"]) for r in parts}) == len(parts)
+    for dest, (n, text) in whole.items():
+        mine = [r for r in parts if r["dest_url"] == dest]
+        assert sum(r["links"] for r in mine) == n and sorted(w for r in mine for w in r["text"].split()) == sorted(text.split())
+
+
+@pytest.mark.parametrize(
+    ("base", "link", "want"),
+    [
+        ("http://h.com/a/b.html", "?q=1", "http://h.com/a/b.html?q=1"), ("http://h.com/a", "../../x", "http://h.com/x"), ("http://h.com/a/b/c/d/e/f/g.html", "../../../../../../x.html", "http://h.com/x.html"), ("http://h.com/a", "tel:12", None),
+        ("http://h.com", "x/y#z", "http://h.com/x/y"), ("http://h.com/a/", "./b/./c/..", "http://h.com/a/b/"), ("https://h.com/a", "//o.com/../b", "https://o.com/b"), ("http://h.com/a", "MAILTO:x@y", None), ("http://h.com/a?b/c", "d", "http://h.com/d"), (None, "x", None), ("http://h.com/a", "", None),
+    ],
+)
+def test_addresses(spark, base, link, want):
+    df = spark.createDataFrame([(base, link)], "b string, l string")
+    assert df.select(join_url(F.col("b"), F.col("l")).alias("x")).first()["x"] == want
+
+
+def test_streamed_counts(spark, tmp_path):
+    from scriptorium.streaming.incremental import streamed_term_counts
+
+    rows = [(1, "a b a"), (2, "a"), (None, "a"), (3, None), (4, "B b")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    df.write.parquet(f"{tmp_path}/in")
+    s = streamed_term_counts(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"))
+    q = s.writeStream.format("memory").queryName("streamed_counts").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {r["term"]: (r["cf"], r["df"]) for r in spark.table("streamed_counts").collect()} == {"a": (3, 2), "b": (3, 2)}
 
 
 def test_comparisons():

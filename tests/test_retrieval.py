@@ -35,11 +35,46 @@ def test_dirichlet_golden(engine):
     assert got(engine.search_batch({"q": "a b"}, 5)) == GOLD
 
 
-@pytest.mark.parametrize("q", ["a b", "#sdm( a b )", "#combine:0=3:1=1( a #uw:4( a b ) )", "#combine( #jm( a ) #jm( b ) )", "#combine( #bm25( a ) #pl2( b ) #inl2( a ) #bil2( b ) )", "#fdm( a b )", "#wsdm( a b )", "#pdfr( a b )", "#combine( zzz a )"])
+@pytest.mark.parametrize("q", ["a b", "#sdm( a b )", "#combine:0=3:1=1( a #uw:4( a b ) )", "#combine( #jm( a ) #jm( b ) )", "#combine( #bm25( a ) #pl2( b ) #inl2( a ) #bil2( b ) )", "#fdm( a b )", "#wsdm( a b )", "#pdfr( a b )", "#combine( zzz a )", "#combine( #dirichlet:mu=10( a ) #dirichlet:mu=2000( b ) )", "#combine( #dirichlet:mu=0.5( a ) #bm25( b ) )", "#require( a #combine( b ) )"])
 def test_batch_equals_tree(engine, q):
     assert got(engine.search_batch({"q": q}, 20)) == got(engine.search(q, 20))
 
 
+def test_batch_of_all_kinds(engine):
+    """Weighted sums and conditions in one batch; each as if alone."""
+    q = {"flat": "a b", "other": "#combine:0=2:1=1( #dirichlet:mu=3( b ) a )", "cond": "#require( b #combine( a ) )", "none": "zzz"}
+    r = engine.search_batch(q, 20)
+    for k, t in q.items():
+        assert got(r.where(F.col("qid") == k)) == got(engine.search(t, 20))
+    assert engine.search_batch({}, 5).count() == 0
+
+
+def test_relevance_weights(engine, spark):
+    rel = spark.createDataFrame([(1,), (3,), (18,), (3,)], "docid bigint")
+    tree = engine.with_relevance("#combine( #bm25rf( a ) #bm25rf( b ) )", rel)
+    assert [(n.get("R"), n.get("rt")) for n in tree.children] == [(3, 2), (3, 3)]
+    x = dict(got(engine.search(tree, 20)))
+    w = lambda rt, ft: 0.33 * math.log(((rt + 0.5) / (3 - rt + 0.5)) / ((ft - rt + 0.5) / (20 - ft - 3 + rt + 0.5)))
+    assert x[5] == pytest.approx(w(2, 3) / 2, abs=1e-6) and x[2] == pytest.approx(w(3, 4) / 2, abs=1e-6)
+
+
+def test_strategies(engine, spark):
+    p = engine.two_pass_passages("a", "b", 10, 5, 50, working=1)
+    assert {r["docid"] for r in p.collect()} == {1}
+    assert got(engine.nonempty("a b", 5)) == got(engine.search("a b", 5))
+    assert engine.expand("rm3", {"q": "a"}, 5, fb_docs=2, fb_terms=3, stopwords=[]).count() > 0
+    assert {r["docid"] for r in engine.expand("rm1", {"q": "a"}, 9, fb_docs=2, fb_terms=3, stopwords=[]).collect()} >= {1, 2, 3, 18}
+    with pytest.raises(ValueError):
+        engine.expand("none", {"q": "a"})
+
+
+def test_passage_filter(engine):
+    """In a passage only extents that lie in it from begin to end; in a document, all."""
+    assert engine.node_statistics("#passagefilter( #extents:title:part=extents() )") == (2, 2, 1)
+    r = {(x["docid"], x["begin"]): x["score"] for x in engine.passages("#combine:norm=false( #log-count( #passagefilter( #extents:title:part=extents() ) ) )", 2, 2, 500).collect()}
+    assert r[3, 0] == 0.0 and all(v < 0 for k, v in r.items() if k != (3, 0))
+
+
 def ids(df):
     return sorted(r["docid"] for r in df.collect())
 
@@ -106,9 +141,19 @@ def test_feedback(engine):
 def test_scorers_golden(spark):
     one = spark.range(1)
     v = lambda c: one.select(c.alias("x")).first()["x"]
-    for df, n, want in ((1, 300, 5.29832), (5, 100, 2.90042)):
-        assert v(S.bm25_idf(df, n)) == pytest.approx(math.log(n / (df + 0.5)))
-        del want
+    # 100 documents of 50 words on average; (df, b, k), idf, (tf, length), score
+    for (df, b, k), idf, (tf, dl), score in (((0, 0.75, 1.2), 5.29832, (5, 100), 8.20866), ((5, 0.75, 1.2), 2.90042, (12, 85), 5.53660), ((20, 0.3, 2.0), 1.58474, (15, 200), 3.79327)):
+        assert v(S.bm25_idf(df, 100)) == pytest.approx(idf, abs=1e-4)
+        assert v(S.bm25(tf, dl, df, 100, 50.0, b, k)) == pytest.approx(score, abs=1e-4)
+    # one occurrence each in documents of 10, 11 and 14 words, of 60 documents with 100 words, cf 19, c 2
+    lengths, mean = (10, 11, 14), 100 / 60
+    for f, want in (
+        (lambda dl: S.pl2(1, dl, 19, 60, mean, 2.0), (0.502788, 0.463434, 0.364418)),
+        (lambda dl: S.inl2(1, dl, 0, 60, mean, 2.0), (2.03281, 1.91526, 1.63250)),
+        (lambda dl: S.bil2(1, dl, 0, 60, mean, 2.0), (2.788971, 3.012237, 3.599482)),
+    ):
+        assert [v(f(dl)) for dl in lengths] == pytest.approx(want, abs=1e-5)
+    assert v(S.pl2(0, 5, 19, 60, mean, 2.0)) == v(S.inl2(0, 5, 19, 60, mean, 2.0)) == v(S.bil2(0, 5, 19, 60, mean, 2.0)) == 0.0
     assert v(S.bm25(0, 10, 1, 10, 10)) == 0.0
     assert v(S.jelinek_mercer(0, 0, 0, 100)) == pytest.approx(math.log(0.5 * 0.005))
     assert v(S.bil2(1, 1, 1, 10, 5)) == 0.0
