@@ -14,9 +14,9 @@ all hosts laid end to end serve that comparison, so small hosts gain from others
 publishing system. Where there are too few records that are no page to compare with, regularity
 alone must do, and the fixed words must then make up half of the line or end in a separator.
 
-Vectors are never gathered. Each is kept as mergeable numbers (pages, lines, words, an
-exclusive-or of page hashes, a 64-bit map of distinct page bodies), added up within each batch,
-then by Spark. Copies of one page under many hosts do not make a template: support counts
+Vectors are never gathered. Each is kept as mergeable numbers (pages, lines, words, a 64-bit map
+of distinct page bodies), added up within each batch, then by Spark; the pages of a role are among
+those of the role it nests in, so equal numbers of pages mean equal vectors. Copies of one page under many hosts do not make a template: support counts
 distinct page bodies, not pages.
 """
 
@@ -63,7 +63,7 @@ _SENTENCE_END = re.compile(r'[.!?]["\'”]?\s+')
 #: Documents per step while roles are counted; bounds a worker's memory.
 _CHUNK = 2048
 
-_COUNTS = "role bigint, host bigint, parent bigint, kind tinyint, depth int, pages bigint, lines bigint, words bigint, vector bigint, bodies bigint"
+_COUNTS = "role bigint, host bigint, parent bigint, kind tinyint, depth int, pages bigint, lines bigint, words bigint, bodies bigint"
 
 
 def body_key(lines: list[str]) -> int:
@@ -74,8 +74,8 @@ def body_key(lines: list[str]) -> int:
 
 
 def role_counts(pages: DataFrame) -> DataFrame:
-    """One row per role and host: its parent, kind, depth, pages, lines, words of these lines,
-    vector and bodies. All rows of a role are in one partition. Each batch adds up its own, so a
+    """One row per role and host: its parent, kind, depth, pages, lines, words of these lines
+    and bodies. All rows of a role are in one partition. Each batch adds up its own, so a
     host or role with a third of all pages sends no more rows than any other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +87,6 @@ def role_counts(pages: DataFrame) -> DataFrame:
                     continue
                 line, role, parent, kind, depth = x.roles()
                 hosts = np.asarray(b.column(2)).view(np.uint64)
-                ids = mix(np.asarray(b.column(3)).astype(np.int64))
                 bodies = np.array([1 << (body_key(rows) & 63) for rows in x.plain], dtype=np.uint64)
                 doc = x.doc[line]
                 with np.errstate(over="ignore"):
@@ -98,6 +97,10 @@ def role_counts(pages: DataFrame) -> DataFrame:
                 once = first | np.concatenate(([True], d[1:] != d[:-1]))  # a page counts once
                 at = np.flatnonzero(first)
                 pick = o[at]
+                sums = [np.add.reduceat(once.astype(np.int64), at), np.diff(np.append(at, len(o))), np.add.reduceat(x.n[line[o]], at), np.bitwise_or.reduceat(bodies[d], at).view(np.int64)]
+                # rows of one host and parent side by side are packed better
+                near = np.lexsort((parent[pick], hosts[doc[pick]]))
+                pick, sums = pick[near], [v[near] for v in sums]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(role[pick].view(np.int64)),
@@ -105,19 +108,15 @@ def role_counts(pages: DataFrame) -> DataFrame:
                         pa.array(parent[pick].view(np.int64)),
                         pa.array(kind[pick]),
                         pa.array(depth[pick].astype(np.int32)),
-                        pa.array(np.add.reduceat(once.astype(np.int64), at)),
-                        pa.array(np.diff(np.append(at, len(o)))),
-                        pa.array(np.add.reduceat(x.n[line[o]], at)),
-                        pa.array(np.bitwise_xor.reduceat(np.where(once, ids[d], np.uint64(0)), at).view(np.int64)),
-                        pa.array(np.bitwise_or.reduceat(bodies[d], at).view(np.int64)),
+                        *map(pa.array, sums),
                     ],
-                    names=["role", "host", "parent", "kind", "depth", "pages", "lines", "words", "vector", "bodies"],
+                    names=["role", "host", "parent", "kind", "depth", "pages", "lines", "words", "bodies"],
                 )
 
-    rows = arrow_map(pages.select("site", "text", F.xxhash64("site").alias("host"), F.coalesce(F.col("doc_id"), F.lit(-1)).cast("bigint").alias("doc_id")), run, _COUNTS)
+    rows = arrow_map(pages.select("site", "text", F.xxhash64("site").alias("host")), run, _COUNTS)
     same = [F.min(c).alias(c) for c in ("parent", "kind", "depth")]
     sums = [F.sum(c).alias(c) for c in ("pages", "lines", "words")]
-    return rows.repartition("role").groupBy("role", "host").agg(*same, *sums, F.bit_xor("vector").alias("vector"), F.bit_or("bodies").alias("bodies"))
+    return rows.repartition("role").groupBy("role", "host").agg(*same, *sums, F.bit_or("bodies").alias("bodies"))
 
 
 def _support(pages: Column, bodies: Column) -> Column:
@@ -138,7 +137,7 @@ def candidates(documents: DataFrame) -> DataFrame:
     same = [F.min(c).alias(c) for c in ("parent", "kind", "depth")]
     sums = [F.sum(c).alias(c) for c in ("pages", "lines", "words")]
     a = own.groupBy("role").agg(
-        *same, *sums, F.bit_xor("vector").alias("vector"), F.bit_or("bodies").alias("bodies"),
+        *same, *sums, F.bit_or("bodies").alias("bodies"),
         F.sum(several.cast("int")).alias("hosts"), F.sum(regular.cast("int")).alias("regular_hosts"), F.max(F.col("pages") / F.col("host_pages")).alias("rate"),
     )
     taken = F.bit_count("bodies")
@@ -146,7 +145,7 @@ def candidates(documents: DataFrame) -> DataFrame:
     a = a.withColumn("support", _support(F.col("pages"), F.col("bodies"))).withColumn("regular", (F.col("regular_hosts") > 0) & (2 * F.col("regular_hosts") >= F.col("hosts")))
     distinct = F.when(F.col("regular"), DISTINCT_REGULAR).otherwise(DISTINCT)
     a = a.where((F.col("support") >= LEAST) & (taken >= distinct * expected) & (F.col("rate") >= PRESENT))
-    return a.select("role", "parent", "kind", "depth", "pages", "lines", "words", "vector", "support", "regular")
+    return a.select("role", "parent", "kind", "depth", "pages", "lines", "words", "support", "regular")
 
 
 def elsewhere(documents: DataFrame, cand: DataFrame) -> DataFrame:
@@ -203,9 +202,9 @@ def templates(documents: DataFrame) -> DataFrame:
     e = F.col("support") * ratio
     blank = F.when(F.col("regular"), REGULAR_SHARE).otherwise(0.5)
     own = lambda prior: (e + WEIGHT * prior) / (e + F.col("others") + WEIGHT)
-    up = c.select(F.col("role").alias("parent"), F.col("vector").alias("up_vector"), own(blank).alias("up_share"))
+    up = c.select(F.col("role").alias("parent"), F.col("pages").alias("up_pages"), own(blank).alias("up_share"))
     prior = F.greatest(F.coalesce("up_share", F.lit(0.5)), blank)
-    share = F.when(F.col("vector") == F.col("up_vector"), F.greatest("up_share", own(blank))).otherwise(own(prior))
+    share = F.when(F.col("pages") == F.col("up_pages"), F.greatest("up_share", own(blank))).otherwise(own(prior))
     goes_on = c.where("parent <> 0").groupBy("parent").agg(F.max("lines").alias("inner_lines")).withColumnRenamed("parent", "role")
     j = c.join(up, "parent", "left").withColumn("share", share).join(goes_on, "role", "left")
     ends = (F.col("kind") == WHOLE) | (F.col("lines") - F.coalesce("inner_lines", F.lit(0)) >= SLOT * F.col("lines"))

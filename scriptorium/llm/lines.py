@@ -30,8 +30,9 @@ SITE = "␟"
 #: Signs that part the pieces of a line; each is a word of its own. Fixed values.
 SEPARATORS = "|:>/·•»–—"
 _SEPARATOR = re.compile(f"([{re.escape(SEPARATORS)}])")
-#: Depths of the nested paths from a line's begin and from its end; further ones double.
-BEGIN, END = (1, 2, 3, 6), (2, 4)
+#: Depths of the nested paths from a line's begin and from its end; each further one is so many
+#: times as deep.
+BEGIN, END, DEEPER = (1, 2, 3, 6), (2, 4), 4
 #: Kinds of roles; a label is a path from the begin that ends in a separator.
 FROM_BEGIN, FROM_END, WHOLE, INNER, LABEL = KINDS = range(5)
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
@@ -175,10 +176,10 @@ class Lines:
 
 def _depths(first: tuple[int, ...], longest: int) -> list[int]:
     out = [d for d in first if d < longest]
-    d = 2 * first[-1]
+    d = DEEPER * first[-1]
     while d < longest:
         out.append(d)
-        d *= 2
+        d *= DEEPER
     return out
 
 
