@@ -75,11 +75,11 @@ def shingle_sets(texts: list[list[str]], run: int, known: dict) -> tuple[np.ndar
             total = total * np.uint64(0x9E3779B97F4A7C15) + h[k : k + m]
     row = np.repeat(np.arange(len(sizes)), sizes)
     inside = row[:m] == row[run - 1 :]  # runs must not reach into the next text
-    total, row = _mix(total[inside]) >> np.uint64(16), row[:m][inside]
-    o = np.lexsort((total, row))
-    total, row = total[o], row[o]
-    new = np.concatenate(([True], (total[1:] != total[:-1]) | (row[1:] != row[:-1])))
-    return total[new], np.bincount(row[new], minlength=len(sizes))
+    # the text's number and the hash in one word sort fast; there are at most 2^16 texts
+    both = (row[:m][inside].astype(np.uint64) << np.uint64(48)) | (_mix(total[inside]) >> np.uint64(16))
+    both.sort()
+    both = both[np.concatenate(([True], both[1:] != both[:-1]))]
+    return both & np.uint64((1 << 48) - 1), np.bincount((both >> np.uint64(48)).astype(np.int64), minlength=len(sizes))
 
 
 def pack(x: np.ndarray) -> bytes:
