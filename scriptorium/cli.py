@@ -113,7 +113,102 @@ def links(spark, a) -> None:
     pages = read(spark, a.input, a.format).select(F.col("name").alias("page_id"), F.col("metadata")["url"].alias("url"), F.col("text").alias("html"))
     x = L.resolve(L.extract(pages), pages)
     x.write.mode("overwrite").parquet(f"{a.output}/links")
-    L.pagerank(x.select(F.col("page").alias("src"), F.col("dest").alias("dst")), pages.select(F.col("page_id").alias("node"))).write.mode("overwrite").parquet(f"{a.output}/pagerank")
+    L.typed(x).write.mode("overwrite").parquet(f"{a.output}/link-index")
+    L.harvest_lines(L.extract(pages), pages).write.mode("overwrite").text(f"{a.output}/harvest")
+    r = L.pagerank(x.select(F.col("page").alias("src"), F.col("dest").alias("dst")), pages.select(F.col("page_id").alias("node")))
+    r.write.mode("overwrite").parquet(f"{a.output}/pagerank")
+    L.rank_lines(r).write.mode("overwrite").text(f"{a.output}/pagerank.txt")
+
+
+def build_part(spark, a) -> None:
+    """Priors or indicators from lines of a name and a value."""
+    from scriptorium.operators import parts
+    from scriptorium.operators.index import Index
+
+    i = Index.open(spark, a.index)
+    lines = spark.read.text(a.lines)
+    t = parts.indicators_from_lines(lines, i.names, a.name) if a.kind == "indicator" else parts.values_from_lines(lines, i.names, a.name, a.log)
+    i.save_side(a.index, {"indicator": "indicators", "prior": "priors"}[a.kind] + "_" + a.name, t)
+
+
+def conflate(spark, a) -> None:
+    from scriptorium.functions import stemmers
+    from scriptorium.operators.index import Index
+    from scriptorium.operators.ngrams import conflation
+
+    i = Index.open(spark, a.index)
+    v = i.vocabulary()
+    i.save_side(a.index, f"conflation_{a.stemmer}", conflation(v, stemmers.dictionary_stems(v) if a.stemmer == "dictionary" else stemmers.stems(v, a.stemmer)))
+
+
+def document(spark, a) -> None:
+    """A document's id, name, length and terms, found by either."""
+    from scriptorium.operators.index import Index
+
+    i = Index.open(spark, a.index)
+    n = i.names.where((F.col("name") == a.document) | (F.col("docid").cast("string") == a.document))
+    found = n.join(i.lengths.where("field = 'document'"), "docid", "left").select("docid", "name", "length")
+    found.show(truncate=False)
+    if a.terms:
+        p = i.postings.where("part = 'postings'").join(F.broadcast(n.limit(1).select("docid")), "docid")
+        p.select("docid", F.posexplode("positions").alias("k", "at"), "term").select("docid", "at", "term").orderBy("at").show(a.rows, truncate=False)
+
+
+def timed_search(spark, a) -> None:
+    """Each query alone, with its seconds; and the batch of all."""
+    import time
+
+    e = _engine(spark, a.index, scorer=a.scorer)
+    out, q = {}, _queries(a.queries)
+    for k, t in q.items():
+        began = time.time()
+        n = len(e.search(t, a.k).collect())
+        out[k] = {"seconds": round(time.time() - began, 3), "results": n}
+    began = time.time()
+    e.search_batch(q, a.k).write.format("noop").mode("overwrite").save()
+    print(json.dumps({"queries": out, "batch_seconds": round(time.time() - began, 3)}))
+
+
+def rerank(spark, a) -> None:
+    """Queries of the first file, their best documents scored anew by those of the second."""
+    from scriptorium.sources import writers
+
+    e = _engine(spark, a.index, scorer=a.scorer)
+    second, out = _queries(a.second), None
+    for k, t in _queries(a.first).items():
+        one = e.two_pass(t, second.get(k, t), a.k, a.working).select(F.lit(k).alias("qid"), F.col("name").alias("docno"), "score", "rank")
+        out = one if out is None else out.unionByName(one)
+    writers.run(out, a.output)
+
+
+def annotate(spark, a) -> None:
+    """Every leaf of a query's tree with its occurrences and documents."""
+    from scriptorium.plans.query import walk
+    from scriptorium.plans.rewrites import SCORERS
+
+    e = _engine(spark, a.index)
+    tree = e.plan(a.query)
+    counted = list(dict.fromkeys(n.children[0] for n in walk(tree) if n.op in SCORERS))
+    got = e.trees.node_stats(counted)
+    c = e.trees.collection()
+    print(json.dumps({"query": str(tree), "documents": c.documents, "length": c.length, "nodes": [{"node": str(n), "occurrences": got[n][0], "documents": got[n][1], "most_in_one": got[n][2]} for n in counted]}, indent=1))
+
+
+def token_statistics(spark, a) -> None:
+    """Counts over raw input, without an index."""
+    from scriptorium.operators.index import tokenized
+    from scriptorium.sources.readers import read
+
+    t = tokenized(read(spark, a.input, a.format).withColumn("docid", F.xxhash64("name")), "docid", name="name")
+    n = F.size("tokens")
+    t.agg(F.count("*").alias("documents"), F.sum(n).alias("tokens"), F.max(n).alias("longest"), F.avg(n).alias("mean")).show()
+    t.select(F.explode("tokens").alias("term")).groupBy("term").count().orderBy(F.desc("count"), "term").show(a.rows, truncate=False)
+
+
+def repair(spark, a) -> None:
+    from scriptorium.operators.index import Index
+
+    print(json.dumps({"mended": Index.repair(spark, a.index)}))
 
 
 def merge_indexes(spark, a) -> None:
@@ -157,6 +252,14 @@ def parser() -> argparse.ArgumentParser:
     verb("operators", operators)
     verb("feedback-terms", feedback, "index", "query", docs=20, terms=50)
     verb("build-windows", windows, "index", n=2, width=1, threshold=2, unordered=flag)
+    verb("build-part", build_part, "index", "lines", "name", kind={"choices": ["prior", "indicator"], "default": "prior"}, log=flag)
+    verb("build-conflation", conflate, "index", stemmer="porter2")
+    verb("document", document, "index", "document", terms=flag, rows=1000)
+    verb("timed-search", timed_search, "index", "queries", k=1000, scorer="dirichlet")
+    verb("rerank", rerank, "index", "first", "second", "output", k=1000, working=10_000, scorer="dirichlet")
+    verb("annotate", annotate, "index", "query")
+    verb("token-statistics", token_statistics, "input", format=None, rows=50)
+    verb("repair", repair, "index")
     verb("links", links, "input", "output", format=None)
     s = sub.add_parser("merge")
     s.add_argument("index")

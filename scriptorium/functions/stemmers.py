@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions.stemmers_world import WORLD, inflections
 from scriptorium.session import arrow_map
 
 # --- English, second version of Porter's stemmer ------------------------------------------------
@@ -193,7 +194,7 @@ def plural(word: str) -> str:
 
 
 #: Stemmer by name; users add their own with ``STEMMERS[name] = function``.
-STEMMERS: dict[str, Callable[[str], str]] = {"none": lambda w: w, "porter2": english, "english": english, "german": german, "plural": plural, **{k: _northern(k) for k in _NORTHERN}}
+STEMMERS: dict[str, Callable[[str], str]] = {"none": lambda w: w, "porter2": english, "english": english, "german": german, "plural": plural, **{k: _northern(k) for k in _NORTHERN}, **WORLD}
 
 
 def stem_key(word: str, stemmer: Callable[[str], str]) -> str:
@@ -212,9 +213,25 @@ def stems(vocabulary: DataFrame, stemmer: str = "porter2") -> DataFrame:
     return arrow_map(vocabulary.select("term").where(F.col("term").isNotNull()).distinct(), run, "term string, stem string")
 
 
+def dictionary_stems(vocabulary: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    """(term, stem): English inflections undone where the result is a word of ``dictionary(term)``,
+    by default of the vocabulary itself; other terms stay. Guesses are joined with the
+    dictionary, so it may be of any size."""
+    v = vocabulary.select("term").where(F.col("term").isNotNull()).distinct()
+    d = (vocabulary if dictionary is None else dictionary).select(F.col("term").alias("guess")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(t, g, k) for t in b.column(0).to_pylist() for k, g in enumerate(inflections(t)[:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32())], names=["term", "guess", "k"])
+
+    best = arrow_map(v, run, "term string, guess string, k int").join(d, "guess", "left_semi").groupBy("term").agg(F.min_by("guess", "k").alias("stem"))
+    return v.join(best, "term", "left").select("term", F.coalesce("stem", "term").alias("stem"))
+
+
 def stemmed_postings(postings: DataFrame, stemmer: str = "porter2", part: str = "postings") -> DataFrame:
     """Postings of stems, as part ``postings.<stemmer>``: positions of all forms in order."""
     p = postings.where(F.col("part") == part)
-    j = p.join(stems(p, stemmer), "term")
+    j = p.join(dictionary_stems(p) if stemmer == "dictionary" else stems(p, stemmer), "term")
     g = j.groupBy("stem", "docid", "length").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
     return g.select(F.lit(f"{part}.{stemmer}").alias("part"), F.col("stem").alias("term"), "docid", F.size("positions").cast("bigint").alias("tf"), "positions", "length")

@@ -18,6 +18,22 @@ STOPWORDS = (
 MONTHS = "january february march april may june july august september october november december".split()
 
 
+#: Lists by name. Users add their own, or read them from files with ``word_list``.
+WORD_LISTS: dict[str, list[str]] = {"short": STOPWORDS, "months": MONTHS}
+
+
+def word_list(name: str, folder: str | None = None) -> list[str]:
+    """A list of words or phrases by name: a registered one, or the lines of ``<folder>/<name>``,
+    lower-cased, without blank lines, comments (``#``) and repeats, in order."""
+    if name in WORD_LISTS:
+        return WORD_LISTS[name]
+    if folder is None:
+        raise KeyError(f"no list {name}")
+    with open(f"{folder}/{name}", encoding="utf-8") as f:
+        rows = [" ".join(x.split("#")[0].lower().split()) for x in f]
+    return list(dict.fromkeys(x for x in rows if x))
+
+
 def simple_tokens(text: Column) -> Column:
     """Array of tokens: tags dropped, runs of ASCII letters and digits, then lower-cased.
 

@@ -1,8 +1,9 @@
 """Learning of query parameters against judgments.
 
 An evaluation function maps a parameter setting to a metric; ``evaluator`` makes one from an
-engine, queries and judgments, where each call is one Spark job over all queries. Grids are
-evaluated setting by setting over a cached index; coordinate ascent needs one call a step.
+engine, queries and judgments, where each call is one Spark job over all queries. Grids of any
+function are evaluated setting by setting, those of an engine's queries in one batch
+(``grid_in_one_job``); coordinate ascent needs one call a step.
 """
 
 from __future__ import annotations
@@ -68,6 +69,26 @@ def grid_search(f: Callable[[Setting], float], ranges: dict[str, Range], size: i
     return Result(best[0], best[1], trace)
 
 
+def grid_in_one_job(engine: Engine, queries: dict[str, str], judged: DataFrame, ranges: dict[str, Range], size: int = 5, metric: str = "ap", k: int = 100) -> Result:
+    """As ``grid_search`` over ``evaluator``, but all settings make one batch of queries, and one
+    evaluation gives the mean of each: two jobs, whatever the number of settings."""
+    axes = [[r.low + (r.high - r.low) * i / max(1, size) for i in range(size + 1)] for r in ranges.values()]
+    settings = [dict(zip(ranges, x, strict=True)) for x in product(*axes)]
+    batch = {}
+    for i, s in enumerate(settings):
+        others = {p: v for p, v in s.items() if not any("{" + p in t for t in queries.values())}
+        for q, t in queries.items():
+            batch[f"{i}\t{q}"] = engine.plan(t.format(**s) if "{" in t else t, **others)
+    run = engine.named(engine.search_batch(batch, k)).select("qid", F.col("name").alias("docno"), "rank")
+    number = judged.sparkSession.range(len(settings)).withColumnRenamed("id", "i")  # one row a setting
+    all_judged = judged.join(F.broadcast(number)).withColumn("qid", F.concat(F.col("i").cast("string"), F.lit("\t"), "qid")).drop("i")
+    per = E.evaluate(run, all_judged).groupBy(F.split("qid", "\t")[0].cast("int").alias("i")).agg(F.avg(metric).alias("m"))
+    found = {r["i"]: r["m"] or 0.0 for r in per.collect()}
+    trace = [(s, found.get(i, 0.0)) for i, s in enumerate(settings)]
+    best = max(trace, key=lambda t: t[1])
+    return Result(best[0], best[1], trace)
+
+
 def coordinate_ascent(f: Callable[[Setting], float], ranges: dict[str, Range], restarts: int = 1, iterations: int = 5, scale: float = 2.0, ratio: float = 0.3, seed: int = 1, normalize: tuple[list[str], str] | None = None) -> Result:
     """Sweeps over the coordinates in random order: steps up, else down, growing while the metric
     improves or equals the best; ends with a sweep that changes nothing. The first start is at

@@ -64,6 +64,40 @@ class Index:
             if t is not None:
                 t.write.mode("overwrite").parquet(f"{path}/{name}")
 
+    def save_side(self, path: str, name: str, table: DataFrame) -> None:
+        """A side table (priors, indicators, sketch, background, conflation, counts, ...) beside the
+        index's own; it is written anew if it is there."""
+        if name in TABLES or not name.isidentifier():
+            raise ValueError(f"{name} can't name a side table")
+        table.write.mode("overwrite").parquet(f"{path}/side/{name}")
+
+    @staticmethod
+    def open_side(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+        """A side table, or None if it was not saved."""
+        try:
+            return spark.read.parquet(f"{path}/side/{name}")
+        except Exception as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return None
+            raise
+
+    @staticmethod
+    def repair(spark: SparkSession, path: str) -> list[str]:
+        """Builds anew what postings can tell: lengths of documents that have none, and names of
+        documents without one. Returns the tables that were missing something."""
+        i = Index.open(spark, path)
+        mended = []
+        known = i.postings.where(F.col("part") == "postings").groupBy("docid").agg(F.max("length").alias("length"))
+        for name, table, row in (
+            ("lengths", i.lengths, known.select(F.lit("document").alias("field"), "docid", F.col("length").cast("int").alias("length"))),
+            ("names", i.names, known.select("docid", F.concat(F.lit("DOC"), F.col("docid").cast("string")).alias("name"))),
+        ):
+            lost = row if table is None else row.join(table.where(F.col("field") == "document") if name == "lengths" else table, "docid", "left_anti")
+            if not lost.isEmpty():
+                lost.select(*(row.columns if table is None else table.columns)).write.mode("append").parquet(f"{path}/{name}")
+                mended.append(name)
+        return mended
+
     @staticmethod
     def open(spark: SparkSession, path: str) -> Index:
         def table(name: str) -> DataFrame | None:

@@ -135,7 +135,8 @@ class Engine:
         counts = node_counts(self.index, definitions, windows, known)
         # one row per leaf of the query set, whatever the size of the collection
         stats = counts.groupBy("leaf").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
-        full = leaves.join(stats, "leaf", "left").fillna({"cf": 0, "df": 0})
+        # used twice, so it is written: the postings are read once for it and once for the scores
+        full = durable(leaves.join(stats, "leaf", "left").fillna({"cf": 0, "df": 0}), "leaves")
         cf, df = F.col("cf").cast("double"), F.col("df").cast("double")
         bg = S.background(cf, c.length)
         lone = F.when(F.col("scorer") == "dirichlet", F.log(F.col("p1") * bg)).when(F.col("scorer") == "jm", F.log((1.0 - F.col("p1")) * bg)).otherwise(0.0)
