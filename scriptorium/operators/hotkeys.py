@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.session import durable
+from scriptorium.session import durable, release
 
 #: Slices of a bracket in one pass.
 SLICES = 1024
@@ -64,7 +64,8 @@ def select_ranks(values: DataFrame, targets: DataFrame, key: str, value: str, we
             F.expr("cast(least(cast(hi as decimal(31,0)), cast(lo as decimal(20,0)) + cast(at + 1 as decimal(10,0)) * cast(width as decimal(20,0)) - 1) as bigint) as hi"),
             (F.col("left") - (F.col("upto") - F.col("c"))).alias("left"),
         )
-        state = durable(state.where("lo = hi").unionByName(new), "brackets")
+        old, state = state, durable(state.where("lo = hi").unionByName(new), "brackets")
+        release(old)
     return state.select(key, "rank", F.col("lo").alias(value))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import join_url, scrub_url
-from scriptorium.session import durable
+from scriptorium.session import durable, release
 
 
 def extract(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html", drop_nofollow: bool = False) -> DataFrame:
@@ -110,7 +110,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame, lam: float = 0.5, delta: float
     n = v.count()
     if n == 0:
         return v.select("node", F.lit(0.0).alias("score"))
-    score = v.withColumn("score", F.lit(1.0 / n))
+    score, last = v.withColumn("score", F.lit(1.0 / n)), None
     for _ in range(iterations):
         whole = score.agg(F.sum("score").alias("all"), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0)).alias("lost")).first()
         jump = (lam * whole["all"] + (1.0 - lam) * whole["lost"]) / n
@@ -118,7 +118,9 @@ def pagerank(edges: DataFrame, nodes: DataFrame, lam: float = 0.5, delta: float
         new = score.withColumnRenamed("score", "old").join(given, "node", "left")
         new = durable(new.select("node", "dangling", "old", (F.lit(jump) + (1.0 - lam) * F.coalesce("given", F.lit(0.0))).alias("score")), "rank")
         change = new.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0]
-        score = new.drop("old")
+        if last is not None:
+            release(last)  # only the newest round is read again
+        last, score = new, new.drop("old")
         if change <= delta:
             break
     return score.select("node", "score")

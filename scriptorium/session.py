@@ -64,7 +64,8 @@ def durable(df: DataFrame, label: str = "cut", partition_by: list[str] | None =
     """Write ``df`` once to the shared folder and read it back.
 
     This cuts the lineage without depending on any single executor: the files survive the
-    loss of all of them. Columns keep names and types. The files go when the driver ends.
+    loss of all of them. Columns keep names and types. The files go when the driver ends, or by
+    ``release``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
@@ -73,7 +74,21 @@ def durable(df: DataFrame, label: str = "cut", partition_by: list[str] | None =
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a ``durable`` table that nothing reads any more, as the last round's
+    table of an iteration; other tables are left alone."""
+    path = getattr(df, "_written", None)
+    if path is None:
+        return
+    spark = df.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _WRITTEN[:] = [w for w in _WRITTEN if w[1] != path]
 
 
 @atexit.register

@@ -280,10 +280,15 @@ def sniff(spark: SparkSession, path: str) -> str:
 
 
 def read(spark: SparkSession, path: str | list[str], format: str | None = None, on_unknown: str = "require") -> DataFrame:
-    """Documents of files or folders; several paths may differ in format. ``on_unknown`` says
+    """Documents of files or folders; several paths may differ in format, and a
+    file ``*.list`` names further ones, a line each. ``on_unknown`` says
     whether a format without reader is an error (``require``) or skipped (``warn``)."""
     out = None
+    paths: list[str] = []
     for p in [path] if isinstance(path, str) else path:
+        # a list file names one path a line; it is a setting, not data
+        paths += [r["value"].strip() for r in spark.read.text(p).collect() if r["value"].strip()] if p.endswith(".list") else [p]
+    for p in paths:
         f = format or sniff(spark, p)
         if f not in READERS:
             if on_unknown == "require":
