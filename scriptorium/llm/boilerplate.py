@@ -268,7 +268,8 @@ def is_title(line: str, title: str, site: str | None) -> bool:
 
 
 class Furniture:
-    """The template roles, ready for workers: sent to all while they are few, else joined."""
+    """The template roles, ready for workers: sent to all while they are few, else joined. One
+    object serves all operators on main texts of the same collection."""
 
     def __init__(self, documents: DataFrame):
         t = durable(templates(documents), "templates")
@@ -351,18 +352,18 @@ def without_lines(text: str, marked: list[int] | None) -> str:
     return "\n".join([x for no, x in enumerate(text.split("\n")) if no not in drop])
 
 
-def furniture(documents: DataFrame) -> DataFrame:
+def furniture(documents: DataFrame, known: Furniture | None = None) -> DataFrame:
     """(doc_id, line_no): the lines of ``documents.text`` that are page furniture.
 
     Null and empty texts and records without ``site`` have none; blank lines never count. Lines
     split at line feeds only, whatever other line ends the text has.
     """
-    return Furniture(documents).marks(documents).select("doc_id", F.explode("lines").alias("line_no"))
+    return (known or Furniture(documents)).marks(documents).select("doc_id", F.explode("lines").alias("line_no"))
 
 
-def main_texts(documents: DataFrame) -> DataFrame:
+def main_texts(documents: DataFrame, known: Furniture | None = None) -> DataFrame:
     """(doc_id, text): every document with the furniture lines taken out; null texts stay null."""
-    rows, mark = Furniture(documents).with_lines(documents, ["doc_id"])
+    rows, mark = (known or Furniture(documents)).with_lines(documents, ["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -374,10 +375,10 @@ def main_texts(documents: DataFrame) -> DataFrame:
     return arrow_map(rows.select("doc_id", "site", "text", "title", "furniture"), run, f"doc_id {kind}, text string")
 
 
-def labelled_lines(documents: DataFrame) -> DataFrame:
+def labelled_lines(documents: DataFrame, known: Furniture | None = None) -> DataFrame:
     """(text, is_content) of the lines of pages, as the templates label them; blank lines are left
     out. All pages take part, with tags or without."""
-    rows, mark = Furniture(documents).with_lines(documents.where(F.col("site").isNotNull() & F.col("text").isNotNull()), ["doc_id"])
+    rows, mark = (known or Furniture(documents)).with_lines(documents.where(F.col("site").isNotNull() & F.col("text").isNotNull()), ["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

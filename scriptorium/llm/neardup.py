@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from scriptorium.llm.boilerplate import Furniture, without_lines
 from scriptorium.llm.lines import mix as _mix
 from scriptorium.llm.markup import clean
-from scriptorium.session import arrow_map, durable
+from scriptorium.session import arrow_map, durable, release
 
 #: Counts a pair must reach before it is compared in full.
 COUNTS = 8
@@ -100,12 +100,12 @@ def _items(column: pa.Array) -> np.ndarray:
     return unpack(memoryview(column.buffers()[2])[int(ends[0]) : int(ends[-1])]) if len(column) and ends[-1] > ends[0] else np.zeros(0, np.uint64)
 
 
-def sets(documents: DataFrame, run_words: int = 3, least_words: int = 20) -> DataFrame:
+def sets(documents: DataFrame, run_words: int = 3, least_words: int = 20, furniture: Furniture | None = None) -> DataFrame:
     """(doc_id, n, digest, items) of each document with enough words; ``items`` are the sorted
     48-bit hashes, packed. A text of fewer words than a run is one run, filled up with what is no
     word, so such texts meet if all their words are equal. Chance equals among 48 bits only add pairs that the full comparison
     of two sets, where they don't matter, sorts out."""
-    rows, mark = Furniture(documents).with_lines(documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), ["doc_id"])
+    rows, mark = (furniture or Furniture(documents)).with_lines(documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), ["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHash()
@@ -305,12 +305,13 @@ class NearDuplicates:
     ``members``: (rep, doc_id), every document with at least ``least_words`` words, with the
     lowest id of its class. ``pairs``: (a, b, similarity), a < b, between representatives; each
     pair of different sets with that similarity, none lost. Null, empty and short texts are in
-    neither. Document ids are unique.
+    neither. Document ids are unique. ``furniture`` are the page templates of the collection, if
+    they are known; else they are deduced here.
     """
 
-    def __init__(self, documents: DataFrame, run_words: int = 3, threshold: float = 0.5, least_words: int = 20):
+    def __init__(self, documents: DataFrame, run_words: int = 3, threshold: float = 0.5, least_words: int = 20, furniture: Furniture | None = None):
         t = threshold
-        s = durable(sets(documents, run_words, least_words), "sets")
+        s = durable(sets(documents, run_words, least_words, furniture), "sets")
         classes = s.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
         many = classes.where(F.col("size") > 1)
         copies = durable(s.select("doc_id", "digest").join(many, "digest").select("rep", "doc_id"), "copies")
@@ -347,15 +348,17 @@ class NearDuplicates:
         """
         pairs = durable(self.pairs.select("a", "b"), "pairs")
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        label = durable(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
+        label = last = durable(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
         while True:
             near = both.join(label.select(F.col("a").alias("b"), F.col("label").alias("of")), "b").groupBy("a").agg(F.min("of").alias("of"))
             sunk = label.join(near, "a").select("a", F.col("label").alias("old"), F.least("label", "of").alias("label"))
             jump = label.select(F.col("a").alias("label"), F.col("label").alias("to"))
             new = sunk.join(jump, "label", "left").select("a", "old", F.coalesce(F.least("label", "to"), "label").alias("label"))
             new = durable(new, "labels")
-            label = new.select("a", "label")
-            if new.where("old <> label").isEmpty():
+            done = new.where("old <> label").isEmpty()
+            release(last)  # only the newest round is read again
+            label, last = new.select("a", "label"), new
+            if done:
                 break
         size = self.members.groupBy("rep").agg(F.count("*").alias("size"))
         linked = both.join(size.withColumnRenamed("rep", "b"), "b").groupBy("a").agg(F.sum("size").alias("others"))

@@ -286,6 +286,15 @@ def test_roles_beyond_the_broadcast(spark):
     assert sorted(map(tuple, boilerplate.main_texts(df).collect())) == joined
 
 
+def test_templates_serve_all_operators(spark, common):
+    df, _ = _unseen(spark, 2, 12, 30)
+    f = boilerplate.Furniture(df)
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(boilerplate.furniture(df, f), boilerplate.furniture(df)) and same(boilerplate.main_texts(df, f), boilerplate.main_texts(df))
+    assert same(quality.scores(df.withColumn("lang", F.lit("pl")), common, f), quality.scores(df.withColumn("lang", F.lit("pl")), common))
+    assert same(neardup.NearDuplicates(df, furniture=f).all_pairs(), neardup.NearDuplicates(df).all_pairs())
+
+
 def test_own_title_is_main_text():
     assert boilerplate.is_title("the old mill of soba", "The Old Mill of Soba - Green Post", "www.green-post.example")
     assert boilerplate.is_title("fwd : the old mill", "The old mill", "a.example")
@@ -294,14 +303,14 @@ def test_own_title_is_main_text():
 
 
 def test_roles_cover_whole_lines():
-    text = " ".join(f"w{k}x" for k in range(5000))
+    text = " ".join(f"w{k}x" for k in range(5000))  # depths 1 2 3 6 24 96 384 1536, and 2 4 16 ... 4096 from the end
     a, b = lines.Lines([text, text + " end"], [None, None]), lines.Lines(["q " + text], [None])
     line, role, parent, kind, depth = a.roles()
     assert depth[kind == lines.WHOLE].tolist() == [5000, 5001]
     first, second = ({(int(r), int(k)) for r, k, x in zip(role, kind, line, strict=True) if x == i} for i in (0, 1))
-    assert len([1 for _, k in first & second if k == lines.FROM_BEGIN]) == 13 and not [1 for _, k in first & second if k in (lines.WHOLE, lines.FROM_END)]
+    assert len([1 for _, k in first & second if k == lines.FROM_BEGIN]) == 8 and not [1 for _, k in first & second if k in (lines.WHOLE, lines.FROM_END)]
     other = {(int(r), int(k)) for r, k in zip(b.roles()[1], b.roles()[3], strict=True)}
-    assert len([1 for _, k in first & other if k == lines.FROM_END]) == 12
+    assert len([1 for _, k in first & other if k == lines.FROM_END]) == 7
     assert set(parent[(kind == lines.FROM_BEGIN) & (depth > 1)].tolist()) <= set(role.tolist())
 
 
