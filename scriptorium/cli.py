@@ -103,7 +103,12 @@ def windows(spark, a) -> None:
     from scriptorium.operators.ngrams import frequent_windows
 
     docs = spark.read.parquet(f"{a.index}/corpus")
-    frequent_windows(tokenized(docs, "docid", name="name"), a.n, a.width, a.threshold, not a.unordered).write.mode("overwrite").parquet(f"{a.index}/windows")
+    t = tokenized(docs, "docid", name="name")
+    if a.stemmer:
+        from scriptorium.functions.stemmers import stemmed_tokens
+
+        t = stemmed_tokens(t, a.stemmer)
+    frequent_windows(t, a.n, a.width, a.threshold, not a.unordered, not a.occurrences).write.mode("overwrite").parquet(f"{a.index}/windows")
 
 
 def links(spark, a) -> None:
@@ -251,7 +256,7 @@ def parser() -> argparse.ArgumentParser:
     verb("plan", plan, "index", "query")
     verb("operators", operators)
     verb("feedback-terms", feedback, "index", "query", docs=20, terms=50)
-    verb("build-windows", windows, "index", n=2, width=1, threshold=2, unordered=flag)
+    verb("build-windows", windows, "index", n=2, width=1, threshold=2, unordered=flag, occurrences=flag, stemmer=None)
     verb("build-part", build_part, "index", "lines", "name", kind={"choices": ["prior", "indicator"], "default": "prior"}, log=flag)
     verb("build-conflation", conflate, "index", stemmer="porter2")
     verb("document", document, "index", "document", terms=flag, rows=1000)

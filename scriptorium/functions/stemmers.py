@@ -213,6 +213,26 @@ def stems(vocabulary: DataFrame, stemmer: str = "porter2") -> DataFrame:
     return arrow_map(vocabulary.select("term").where(F.col("term").isNotNull()).distinct(), run, "term string, stem string")
 
 
+def stemmed_tokens(documents: DataFrame, stemmer: str = "porter2") -> DataFrame:
+    """``documents(docid, name, tokens)`` with stems for tokens; null tokens stay null."""
+    f = STEMMERS[stemmer]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str | None, str | None] = {None: None}
+        for b in batches:
+            if len(known) > 200_000:
+                known = {None: None}
+            out = []
+            for row in b.column(2).to_pylist():
+                for t in row or ():
+                    if t not in known:
+                        known[t] = f(t)
+                out.append(None if row is None else [known[t] for t in row])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.string()))], names=["docid", "name", "tokens"])
+
+    return arrow_map(documents.select("docid", "name", "tokens"), run, "docid bigint, name string, tokens array<string>")
+
+
 def dictionary_stems(vocabulary: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
     """(term, stem): English inflections undone where the result is a word of ``dictionary(term)``,
     by default of the vocabulary itself; other terms stay. Guesses are joined with the

@@ -33,11 +33,12 @@ def threshold(w: DataFrame, least: int = 2, by_documents: bool = True) -> DataFr
     return g.where(F.col("df" if by_documents else "cf") >= least)
 
 
-def frequent_windows(documents: DataFrame, n: int = 2, width: int = 1, least: int = 2, ordered: bool = True) -> DataFrame:
-    """(docid, feature, begin, end) of features that pass the threshold: counted by their hash
+def frequent_windows(documents: DataFrame, n: int = 2, width: int = 1, least: int = 2, ordered: bool = True, by_documents: bool = True) -> DataFrame:
+    """(docid, feature, begin, end) of features with at least ``least`` documents, or occurrences: counted by their hash
     first, so that only those of the second pass carry text."""
     w = windows(documents, n, width, ordered)
-    keep = w.select("docid", F.xxhash64("feature").alias("h")).distinct().groupBy("h").count().where(F.col("count") >= least).select("h")
+    h = w.select("docid", F.xxhash64("feature").alias("h"))
+    keep = (h.distinct() if by_documents else h).groupBy("h").count().where(F.col("count") >= least).select("h")
     return w.withColumn("h", F.xxhash64("feature")).join(keep, "h", "left_semi").drop("h")
 
 

@@ -231,7 +231,8 @@ class TreePlan:
 
         def each(f) -> Column:
             number = [F.expr(f"try_cast('{x}' as double)") for x in values]
-            stamp = [F.expr("try_cast('" + x.replace("'", "") + "' as timestamp)") for x in values]
+            # ISO dates, and the short form of a date in American order
+            stamp = [F.expr("coalesce(try_cast('{0}' as timestamp), try_to_timestamp('{0}', 'M/d/yy'), try_to_timestamp('{0}', 'M/d/yyyy'))".format(x.replace("'", ""))) for x in values]
             return F.coalesce(f(v["v_long"].cast("double"), number), f(v["v_double"], number), f(v["v_timestamp"], stamp), f(v["v_string"], [F.lit(x) for x in values]), F.lit(False))
 
         if any("'" in x or "\\" in x for x in values):

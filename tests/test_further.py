@@ -131,3 +131,50 @@ def test_command_line(spark, tmp_path, capsys):
     assert a["documents"] == 3 and [n["documents"] for n in a["nodes"]] == [1, 2]
     assert json.loads(run("repair", ix)) == {"mended": []}
     assert "mill" in run("token-statistics", src)
+
+
+def test_settings():
+    from scriptorium.functions.settings import Settings
+
+    base = Settings({"a": {"b": 1, "c": "2.5"}, "f": "true"})
+    s = Settings.parse('{"a": {"b": 7}, "list": [1], "none": null}', base)
+    assert s.integer("a.b") == 7 and s.number("a.c") == 2.5 and s.flag("f") is True and s.items("a.b") == [7] and s.get("none") is None
+    assert s.has("a.c") and not s.has("a.d") and s.get("a.d", 3) == 3
+    for f, bad in ((s.integer, "a.c"), (s.number, "list"), (s.flag, "a.b")):
+        with pytest.raises(ValueError):
+            f(bad)
+    with pytest.raises(KeyError):
+        s.get("zz")
+    m = base.merged(Settings({"a": {"c": 3}, "g": 1}).set("x.y", 4))
+    assert Settings.parse(m.render()).values == {"a": {"b": 1, "c": 3}, "f": "true", "g": 1, "x": {"y": 4}}
+    with pytest.raises(ValueError):
+        m.set("g.h", 1)
+
+
+def test_sums_of_trees_and_natural_order(spark):
+    from pyspark.sql import functions as F
+
+    from scriptorium.functions.settings import natural_key, sum_trees, value_counts
+
+    rows = ['{"a": 1, "b": {"c": 2}}', '{"a": 0.5, "b": {"c": 3, "d": true}}', "no json", None, "[1]", ""]
+    df = spark.createDataFrame([(r,) for r in rows], "value string").repartition(3)
+    assert dict(map(tuple, sum_trees(df).collect())) == {"a": 1.5, "b.c": 5.0}
+    names = ["a10", "a2", "A1b", "a002", "b", "a1", None, "10", "9"]
+    n = spark.createDataFrame([(x,) for x in names], "name string")
+    assert [r["name"] for r in n.where("name <> 'a002'").orderBy(natural_key(F.col("name")), "name").collect()] == ["9", "10", "a1", "A1b", "a2", "a10", "b"]
+    assert {tuple(r) for r in value_counts(n.withColumn("k", F.substring("name", 1, 1)), "k").collect()} == {("a", 4), ("A", 1), ("b", 1), (None, 1), ("1", 1), ("9", 1)}
+
+
+def test_windows_of_stems_and_short_dates(spark):
+    from scriptorium.operators.index import typed_fields
+    from scriptorium.operators.ngrams import frequent_windows
+
+    t = tokenized(spark.createDataFrame([(1, "old mills old mill"), (2, "older things"), (3, None)], "doc_id bigint, text string"))
+    st_ = stemmers.stemmed_tokens(t)
+    assert {r["docid"]: r["tokens"] for r in st_.collect()} == {1: ["old", "mill", "old", "mill"], 2: ["older", "thing"], 3: []}
+    assert frequent_windows(st_, 2, 1, 2).count() == 0 and {r["feature"] for r in frequent_windows(st_, 2, 1, 2, by_documents=False).collect()} == {"old~mill"}
+    docs = spark.sql("SELECT * FROM VALUES (1L, TIMESTAMP '2024-01-31 10:00:00'), (2L, TIMESTAMP '2023-05-01 00:00:00') AS t(doc_id, day)")
+    e = _engine(spark)
+    f = Engine(e.index.with_fields(typed_fields(docs, {"day": "date"})))
+    assert [r["docid"] for r in f.boolean("#greater( day 1/30/24 )").collect()] == [1] == [r["docid"] for r in f.boolean("#greater( day 2024-01-30 )").collect()]
+    assert [r["docid"] for r in f.boolean("#less( day 1/30/2024 )").collect()] == [2]
