@@ -314,7 +314,7 @@ class NearDuplicates:
         s = durable(sets(documents, run_words, least_words, furniture), "sets")
         classes = s.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
         many = classes.where(F.col("size") > 1)
-        copies = durable(s.select("doc_id", "digest").join(many, "digest").select("rep", "doc_id"), "copies")
+        copies = durable(s.select("doc_id", "digest").join(many, "digest").select("rep", "doc_id", "size"), "copies")
         more = copies.where(F.col("rep") != F.col("doc_id")).select("doc_id")
         n_more = more.count()
         self.copies = copies
@@ -323,7 +323,7 @@ class NearDuplicates:
             singles = s.join(more, "doc_id", "left_anti")
         else:
             singles = s
-        self.members = s.select("doc_id").join(copies, "doc_id", "left").select(F.coalesce("rep", "doc_id").alias("rep"), "doc_id")
+        self.members = s.select("doc_id").join(copies.drop("size"), "doc_id", "left").select(F.coalesce("rep", "doc_id").alias("rep"), "doc_id")
         counts = sketch(singles)
         blocks = entries(singles, counts, t).repartition("cell").sortWithinPartitions("cell")
         counted = arrow_map(blocks, _multiply(t), "a bigint, b bigint, counts int").groupBy("a", "b").agg(F.sum("counts").alias("counts"))
@@ -375,6 +375,10 @@ class NearDuplicates:
         m = self.members
         across = self.pairs.join(m.select(F.col("rep").alias("a"), F.col("doc_id").alias("x")), "a").join(m.select(F.col("rep").alias("b"), F.col("doc_id").alias("y")), "b")
         across = across.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
+        # a large class is divided: each part of it meets the whole class in a task of its own
         c = self.copies
-        within = c.select("rep", F.col("doc_id").alias("doc_a")).join(c.select("rep", F.col("doc_id").alias("doc_b")), "rep").where("doc_a < doc_b").select("doc_a", "doc_b")
+        parts = F.ceil(F.col("size") / COLUMN).cast("int")
+        left = c.select("rep", F.col("doc_id").alias("doc_a"), F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part"))
+        right = c.select("rep", F.col("doc_id").alias("doc_b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        within = left.join(right, ["rep", "part"]).where("doc_a < doc_b").select("doc_a", "doc_b")
         return across.unionByName(within)

@@ -399,6 +399,17 @@ def test_columns_with_blocks(spark):
     assert small == true and want == len(true)
 
 
+def test_large_classes_are_divided(spark):
+    df = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(30)), None) for i in range(40)], "doc_id bigint, text string, site string")
+    old = neardup.COLUMN
+    try:
+        neardup.COLUMN = 7
+        got = sorted(map(tuple, neardup.NearDuplicates(df).all_pairs().collect()))
+    finally:
+        neardup.COLUMN = old
+    assert got == [(a, b) for a in range(40) for b in range(a + 1, 40)]
+
+
 def test_frequent_terms_beyond_the_broadcast(spark):
     rng = random.Random(3)
     df = spark.createDataFrame([(i, [f"t{int(rng.random() ** 3 * 80)}" for _ in range(30)]) for i in range(120)], "doc_id bigint, terms array<string>")
