@@ -29,7 +29,6 @@ _DRESS = re.compile(r"\*+|__+|'{2,}|`+|^[ \t]*#{1,6}[ \t]", re.M)
 SITE = "␟"
 #: Signs that part the pieces of a line; each is a word of its own. Fixed values.
 SEPARATORS = "|:>/·•»–—"
-_SEPARATOR = re.compile(f"([{re.escape(SEPARATORS)}])")
 #: Depths of the nested paths from a line's begin and from its end; each further one is so many
 #: times as deep.
 BEGIN, END, DEEPER = (1, 2, 3, 6), (2, 4), 4
@@ -67,7 +66,10 @@ def plain(text: str, site: str = "") -> list[str]:
     t = _DIGITS.sub("0", t.lower())
     if site and site in t:
         t = t.replace(site, SITE)
-    return _SEPARATOR.sub(r" \1 ", t).split("\n")
+    for x in SEPARATORS:
+        if x in t:
+            t = t.replace(x, f" {x} ")
+    return t.split("\n")
 
 
 def mix(x: np.ndarray) -> np.ndarray:

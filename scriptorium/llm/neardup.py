@@ -56,8 +56,15 @@ class _WordHash(dict):
         return h
 
 
-def words(text: str) -> list[str]:
-    """Lower-cased words without punctuation."""
+#: Of ASCII characters, letters lower-cased and digits, all else a blank; apostrophes are dropped.
+_PLAIN = bytes(c | 32 if chr(c).isalpha() and c < 128 else c if chr(c).isdigit() and c < 128 else 32 for c in range(256))
+
+
+def words(text: str) -> list:
+    """Lower-cased words without punctuation; as bytes if the text is plain ASCII, which is faster
+    and gives equal hashes."""
+    if text.isascii():
+        return text.encode().translate(_PLAIN, b"'").split()
     return _WORD.findall(_APOSTROPHE.sub("", text.lower()))
 
 
@@ -118,7 +125,7 @@ def sets(documents: DataFrame, run_words: int = 3, least_words: int = 20, furnit
                     w = words(clean(without_lines(text, lines)))
                     if len(w) >= max(least_words, 1):
                         ids.append(d)
-                        texts.append(w + [""] * (run_words - len(w)))
+                        texts.append(w + [b""] * (run_words - len(w)))
                 items, n = shingle_sets(texts, run_words, known)
                 ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
                 packed = [pack(items[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
