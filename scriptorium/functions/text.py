@@ -44,6 +44,12 @@ def simple_tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(bare, F.lit("[a-zA-Z0-9]+"), F.lit(0)), F.lower)
 
 
+def simple_token_count(text: Column) -> Column:
+    """How many tokens ``simple_tokens`` gives, without making them."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]*>", " ")
+    return F.regexp_count(bare, F.lit("[a-zA-Z0-9]+"))
+
+
 def newline_tokens(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 

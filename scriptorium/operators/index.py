@@ -6,13 +6,17 @@ term within range partitions, so that a look-up of terms reads few row groups.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import simple_tokens
+from scriptorium.functions.text import simple_token_count, simple_tokens
+from scriptorium.session import arrow_map
 
 TABLES = ("postings", "lengths", "names", "extents", "fields")
 #: Formats of typed fields, with the column that holds the value. Fixed values.
@@ -129,24 +133,38 @@ def tokenized(documents: DataFrame, docid: str = "doc_id", text: str = "text", n
     return documents.where(F.col(docid).isNotNull()).select(F.col(docid).cast("bigint").alias("docid"), n.alias("name"), t.alias("tokens"))
 
 
+#: Inputs of up to so many bytes (as the optimizer estimates them) are spread before they are indexed.
+SPREAD_BYTES = 1 << 30
+
+
+def _estimated_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def build_from(documents: DataFrame, docid: str = "doc_id", text: str = "text", name: str | None = None, tokens: Callable[[Column], Column] = simple_tokens) -> Index:
-    """Index of texts. The raw texts are moved by id before they are tokenized, so that the work
-    is spread evenly whatever the layout of the files, and less is moved than tokens would be."""
+    """Index of texts. Each text is tokenized where it lies. A small input, which may be a single
+    row group, is spread by id first (raw texts, less than tokens would be), so that all cores
+    work; a large one is in many row groups already and is not moved at all."""
     raw = documents.where(F.col(docid).isNotNull()).select(F.col(docid).cast("bigint").alias("docid"), F.col(text).alias("text"))
-    return build(tokenized(documents, docid, text, name, tokens(F.col(text))), placed=raw.repartition("docid").select("docid", tokens(F.col("text")).alias("tokens")))
+    if _estimated_bytes(raw) <= SPREAD_BYTES:
+        raw = raw.repartition("docid")
+    i = build(tokenized(documents, docid, text, name, tokens(F.col(text))), placed=raw.select("docid", tokens(F.col("text")).alias("tokens")))
+    if tokens is simple_tokens:  # lengths need no array of tokens
+        own = documents.where(F.col(docid).isNotNull())
+        i.lengths = own.select(F.lit("document").alias("field"), F.col(docid).cast("bigint").alias("docid"), simple_token_count(F.col(text)).alias("length"))
+    return i
 
 
 def build(documents: DataFrame, part: str = "postings", field: str = "document", placed: DataFrame | None = None) -> Index:
     """Index of ``tokenized`` documents. Null tokens keep their positions but have no postings;
     lengths count them. Document ids are unique.
 
-    Each document's row is moved once, whole, by its id; tokens are exploded and counted where
-    it lies: grouping by (docid, term) needs no further exchange. ``placed`` is the same
-    documents, if they are divided by id already.
+    A document's tokens are in one row, so its postings are made where it lies, batch by batch on
+    columns of tokens: no exchange, no row per token. ``placed`` is the same documents, if they
+    are better spread for that work.
     """
-    placed = documents.repartition("docid") if placed is None else placed
-    t = placed.select("docid", F.size("tokens").alias("length"), F.posexplode("tokens").alias("pos", "term")).where(F.col("term").isNotNull())
-    postings = t.groupBy("docid", "term", "length").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    placed = documents if placed is None else placed
+    postings = _postings(placed.select("docid", "tokens"))
     return Index(
         postings.select(F.lit(part).alias("part"), "term", "docid", "tf", "positions", "length"),
         documents.select(F.lit(field).alias("field"), "docid", F.size("tokens").alias("length")),
@@ -154,6 +172,39 @@ def build(documents: DataFrame, part: str = "postings", field: str = "document",
     )
 
 
+#: Documents whose tokens are sorted at once.
+_STEP = 1024
+
+
+def _postings(documents: DataFrame) -> DataFrame:
+    """(docid, term, tf, positions, length) of documents(docid, tokens)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, _STEP):
+                b = whole.slice(start, _STEP)
+                column = b.column(1)
+                size = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
+                row = np.repeat(np.arange(len(size)), size)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                words = column.flatten().dictionary_encode()
+                code = np.asarray(words.indices.fill_null(-1)).astype(np.int64)
+                kept = np.flatnonzero(code >= 0)  # null tokens have a place, but no posting
+                key = row[kept] * max(1, len(words.dictionary)) + code[kept]
+                o = np.argsort(key, kind="stable")
+                key, kept = key[o], kept[o]
+                first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
+                ends = np.append(first, len(key))
+                own = kept[first]
+                positions = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(at[kept].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(row[own])), words.dictionary.take(pa.array(code[own])), pa.array(np.diff(ends)), positions, pa.array(size[row[own]].astype(np.int32))],
+                    names=["docid", "term", "tf", "positions", "length"],
+                )
+
+    return arrow_map(documents, run, "docid bigint, term string, tf bigint, positions array<int>, length int")
+
+
 def count_postings(documents: DataFrame) -> DataFrame:
     """(term, docid, tf) without positions: the positions column is never built."""
     t = documents.repartition("docid").select("docid", F.explode("tokens").alias("term")).where(F.col("term").isNotNull())
