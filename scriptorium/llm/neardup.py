@@ -9,9 +9,16 @@
    Take the shared ones in the common order: from the r-th on, each set must still have o-r+1.
    So the first K shared ones lie in a prefix of each set, and each passes that test. Prefix
    entries are multiplied block by block of the matrix: entries of one shingle meet, pairs of
-   them passing the size and position tests count one. Common shingles are divided into square
-   blocks, so that no task has to pair a long column alone.
-4. Pairs with fewer than K counts are dropped; those left are compared in full.
+   them passing the size, position and sign tests count one. Common shingles are divided into
+   square blocks, so that no task has to pair a long column alone.
+4. In a column sorted by size, the sets that are large enough to be the larger one of a pair and
+   small enough for the shingles left to the smaller one stand in a row. Only these are paired.
+5. An entry's sign has a bit for each hash value, set if an odd number of shingles from the entry
+   on have that value. Shared shingles cancel out, so two signs differ in at most as many bits as
+   there are shingles in one set only; with o-K+1 shared ones to come, of u and v shingles left, these
+   are u+v-2(o-K+1) or fewer. Signs of different widths are folded to the smaller one, which
+   keeps that bound.
+6. Pairs with fewer than K counts are dropped; those left are compared in full.
 """
 
 from __future__ import annotations
@@ -33,13 +40,18 @@ from scriptorium.llm.markup import clean
 from scriptorium.session import arrow_map, durable, release
 
 #: Counts a pair must reach before it is compared in full.
-COUNTS = 8
+COUNTS = 4
 #: Cells of the sketch: the power of two from the number of shingles on, within these bounds.
 CELLS = (1 << 16, 1 << 24)
 #: Cells in one block of the sketch while it is added up.
 _BLOCK = 1 << 16
-#: Entries of one shingle up to which they are paired in one block.
-COLUMN = 1024
+#: Entries of one shingle up to which they are paired in one block; of a class of equal texts, a sixteenth.
+COLUMN = 1 << 14
+#: Most words of 64 bits in a sign, a power of two; bits for each shingle by which two sets of one size may
+#: differ; shingles in no more texts than this get one word.
+WORDS, BITS, RARE = 8, 4, 4
+#: Pairs looked at together.
+_PAIRS = 1 << 20
 #: Most ids broadcast to leave documents out or pick them; with more they are joined.
 BROADCAST_IDS = 1_000_000
 
@@ -177,65 +189,116 @@ def need(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t / (1.0 + t) * (a + b) - 1e-9).astype(np.int64)
 
 
+def signs(x: np.ndarray, end: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
+    """For each entry ``at`` the parities of the hash values of ``x`` from it to the last shingle
+    of its set, ``end``: a row of ``words`` words."""
+    h = _mix(x)
+    bit, word = np.uint64(1) << (h & np.uint64(63)), (h >> np.uint64(6)) & np.uint64(words - 1)
+    out = np.empty((len(at), words), dtype=np.uint64)
+    for k in range(words):
+        one = np.where(word == np.uint64(k), bit, np.uint64(0))
+        run = np.bitwise_xor.accumulate(one)
+        out[:, k] = run[end] ^ run[at] ^ one[at]
+    return out
+
+
+def fold(sign: np.ndarray) -> np.ndarray:
+    """Signs of half the width."""
+    half = sign.shape[1] // 2
+    return sign[:, :half] ^ sign[:, half:]
+
+
 def entries(s: DataFrame, counts: np.ndarray, t: float) -> DataFrame:
-    """(cell, doc, size_at, side): the prefix entries that can match, by block of the matrix."""
+    """(cell, doc, size_at, side, sign): the prefix entries that can match, by block of the matrix."""
     table = s.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = table.value
         mask = np.uint64(len(c) - 1)
-        for b in batches:
-            n = np.asarray(b.column(1)).astype(np.int64)
-            if not len(n):
-                continue
-            x = _items(b.column(2))
-            row = np.repeat(np.arange(len(n)), n)
-            code = c[(x & mask).astype(np.int64)]
-            o = np.lexsort((x, code, row))
-            x, code, row = x[o], code[o].astype(np.int64), row[o]
-            at = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
-            keep = (at < (n - np.ceil(t * n - 1e-9).astype(np.int64) + COUNTS)[row]) & (code > 1)
-            x, code, row, at = x[keep], code[keep], row[keep], at[keep]
-            doc = np.asarray(b.column(0)).astype(np.int64)[row]
-            size_at = (n[row] << 32) | at
-            count = np.where(code <= 64, code, 64.0 * 1.1 ** (code - 63.0))
-            sides = np.ceil(count / COLUMN).astype(np.int64)
-            one = sides == 1
-            out = [(x[one].view(np.int64), doc[one], size_at[one], np.zeros(int(one.sum()), dtype=np.int8))]
-            for k in np.flatnonzero(~one):  # few: rows of the prefix are the rare ones
-                m = int(sides[k])
-                u = int(_mix(doc[k : k + 1].view(np.uint64))[0] % np.uint64(m))
-                v = np.arange(m, dtype=np.uint64)
-                lo, hi = np.minimum(v, np.uint64(u)), np.maximum(v, np.uint64(u))
-                with np.errstate(over="ignore"):
-                    cell = _mix(x[k] + _mix((lo << np.uint64(32)) + hi + np.uint64(1)))
-                side = np.where(lo == hi, 0, np.where(v >= np.uint64(u), 1, 2)).astype(np.int8)
-                out.append((cell.view(np.int64), np.full(m, doc[k]), np.full(m, size_at[k]), side))
-            cols = [np.concatenate(z) for z in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(z) for z in cols], names=["cell", "doc", "size_at", "side"])
-
-    return arrow_map(s.select("doc_id", "n", "items"), run, "cell bigint, doc bigint, size_at bigint, side tinyint")
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                yield one(whole.slice(start, 2048), c, mask)
+
+    def one(b: pa.RecordBatch, c: np.ndarray, mask: np.uint64) -> pa.RecordBatch:
+        n = np.asarray(b.column(1)).astype(np.int64)
+        x = _items(b.column(2))
+        row = np.repeat(np.arange(len(n)), n)
+        code = c[(x & mask).astype(np.int64)]
+        o = np.lexsort((x, code, row))
+        x, code = x[o], code[o].astype(np.int64)
+        ends = np.cumsum(n)
+        at = np.arange(len(x)) - np.repeat(ends - n, n)
+        kept = np.flatnonzero((at < (n - np.ceil(t * n - 1e-9).astype(np.int64) + COUNTS)[row]) & (code > 1))
+        sign = signs(x, ends[row[kept]] - 1, kept, WORDS)
+        x, code, row, at = x[kept], code[kept], row[kept], at[kept]
+        doc = np.asarray(b.column(0)).astype(np.int64)[row]
+        size_at = (n[row] << 32) | at
+        # as wide as the entry needs against a set of its own size
+        differ = 2 * (n[row] - at - need(n[row], n[row], t) + COUNTS - 1)
+        width = np.where(code <= RARE, 1, 1 << np.ceil(np.log2(np.clip(differ * BITS / 64.0, 1, WORDS))).astype(np.int64))
+        words = np.zeros_like(sign)
+        w, f = WORDS, sign
+        while True:
+            words[:, :w] = np.where((width == w)[:, None], f, words[:, :w])
+            if w == 1:
+                break
+            w, f = w // 2, fold(f)
+        count = np.where(code <= 64, code, 64.0 * 1.1 ** (code - 63.0))
+        sides = np.ceil(count / COLUMN).astype(np.int64)
+        few = np.flatnonzero(sides == 1)
+        out = [(x[few].view(np.int64), few, np.zeros(len(few), dtype=np.int8))]
+        for k in np.flatnonzero(sides != 1):  # few: rows of the prefix are the rare ones
+            m = int(sides[k])
+            u = int(_mix(doc[k : k + 1].view(np.uint64))[0] % np.uint64(m))
+            v = np.arange(m, dtype=np.uint64)
+            lo, hi = np.minimum(v, np.uint64(u)), np.maximum(v, np.uint64(u))
+            with np.errstate(over="ignore"):
+                cell = _mix(x[k] + _mix((lo << np.uint64(32)) + hi + np.uint64(1)))
+            side = np.where(lo == hi, 0, np.where(v >= np.uint64(u), 1, 2)).astype(np.int8)
+            out.append((cell.view(np.int64), np.full(m, k), side))
+        cell, k, side = (np.concatenate(z) for z in zip(*out, strict=True))
+        width = width[k]
+        flat = words[k][np.arange(WORDS) < width[:, None]]
+        offsets = np.concatenate(([0], np.cumsum(width * 8))).astype(np.int32)
+        sign = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+        return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(doc[k]), pa.array(size_at[k]), pa.array(side), sign], names=["cell", "doc", "size_at", "side", "sign"])
+
+    return arrow_map(s.select("doc_id", "n", "items"), run, "cell bigint, doc bigint, size_at bigint, side tinyint, sign binary")
+
+
+def _signs_of(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The signs of a column, a row of ``words`` words each, and how many of them are in use."""
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    width = np.diff(ends) // 8
+    out = np.zeros((len(column), words), dtype=np.uint64)
+    out[np.arange(words) < width[:, None]] = np.frombuffer(memoryview(column.buffers()[2])[int(ends[0]) : int(ends[-1])], dtype=np.uint64)
+    return out, width
 
 
 def _multiply(t: float):
-    """Entries in order of cell to (a, b, counts), pairs that pass the size and position tests."""
-
-    def pairs(doc, size, at, side):
-        """Of all pairs within the given runs, described by (first, second) index arrays."""
-        n = len(doc)
-        rows = max(1, 2_000_000 // max(n, 1))
-        for s in range(0, n, rows):
-            i, j = np.meshgrid(np.arange(s, min(n, s + rows)), np.arange(n), indexing="ij")
-            m = i < j
-            yield from_index(doc, size, at, side, i[m], j[m])
-
-    def from_index(doc, size, at, side, i, j):
+    """Entries in order of cell and size to (a, b, counts), pairs that pass the size, position and sign tests."""
+    part = max(t / (1.0 + t), 1e-12)
+
+    def likely(doc, size, at, side, folds, width, i, j):
+        """Of the pairs of entries i and j of one cell, those that pass."""
         a, b = size[i], size[j]
+        u, v = a - at[i], b - at[j]
         o = need(a, b, t)
-        ok = (np.minimum(a, b) >= t * np.maximum(a, b) - 1e-9) & (np.minimum(a - at[i], b - at[j]) >= o - (np.minimum(COUNTS, o) - 1)) & ((side[i] == 0) | (side[i] != side[j])) & (doc[i] != doc[j])
-        x, y = doc[i][ok], doc[j][ok]
+        r = np.minimum(COUNTS, o)  # the pair's first r shared shingles pass
+        ok = np.flatnonzero((np.minimum(a, b) >= t * np.maximum(a, b) - 1e-9) & (np.minimum(u, v) >= o - (r - 1)) & ((side[i] == 0) | (side[i] != side[j])) & (doc[i] != doc[j]))
+        i, j, o = i[ok], j[ok], o[ok]
+        differ = (u + v)[ok] - 2 * (o - r[ok] + 1)
+        narrow = np.minimum(width[i], width[j])
+        for f in folds:
+            w = f.shape[1]
+            bits = np.zeros(len(i), dtype=np.int64)
+            for k in range(w):
+                bits += np.bitwise_count(f[i, k] ^ f[j, k])
+            ok = np.flatnonzero((bits <= differ) | (narrow < w))
+            i, j, o, differ, narrow = i[ok], j[ok], o[ok], differ[ok], narrow[ok]
+        x, y = doc[i], doc[j]
         # pairs that need not share as many as COUNTS shingles pass at once
-        return np.minimum(x, y), np.maximum(x, y), np.where(o[ok] < COUNTS, COUNTS, 1)
+        return np.minimum(x, y), np.maximum(x, y), np.where(o < COUNTS, COUNTS, 1)
 
     def emit(found):
         a = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
@@ -248,18 +311,30 @@ def _multiply(t: float):
         n = np.add.reduceat(n, first).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(n)], names=["a", "b", "counts"])
 
-    def blocks(cell, doc, size, at, side):
-        first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-        length = np.diff(np.append(first, len(cell)))
-        # runs up to 64 long: index pairs of all runs of one length at once
-        for n in np.unique(length[(length > 1) & (length <= 64)]).tolist():
-            s = first[length == n]
-            i, j = np.triu_indices(n, 1)
-            for k in range(0, len(s), max(1, 2_000_000 // len(i))):
-                base = s[k : k + max(1, 2_000_000 // len(i)), None]
-                yield from_index(doc, size, at, side, (base + i).ravel(), (base + j).ravel())
-        for s, n in zip(first[length > 64].tolist(), length[length > 64].tolist(), strict=True):
-            yield from pairs(doc[s : s + n], size[s : s + n], at[s : s + n], side[s : s + n])
+    def blocks(cell, doc, size_at, side, sign, width):
+        size, at = size_at >> 32, size_at & 0xFFFFFFFF
+        folds = [sign]  # narrow ones first; a narrow sign stands in the first words of its row
+        while folds[0].shape[1] > 1:
+            folds.insert(0, fold(folds[0]))
+        number = np.cumsum(np.concatenate(([False], cell[1:] != cell[:-1])))
+        top = int(size.max()) + 1
+        key = number * top + size
+        # the largest set that may be the entry's partner; larger ones need more shingles than are left
+        reach = np.minimum((size - at + COUNTS - 1 + 1e-6) / part - size, size / max(t, 1e-12) + 1e-6)
+        last = np.searchsorted(key, number * top + np.clip(reach, 0, top - 1).astype(np.int64), side="right")
+        first = np.arange(1, len(cell) + 1)
+        many = np.maximum(last - first, 0)
+        ends = np.cumsum(many)
+        s = 0
+        while s < len(cell):
+            before = int(ends[s - 1]) if s else 0
+            e = max(s + 1, int(np.searchsorted(ends, before + _PAIRS, side="right")))
+            m = many[s:e]
+            if m.any():
+                i = np.repeat(np.arange(s, e), m)
+                j = np.arange(len(i)) - np.repeat(ends[s:e] - m - before, m) + np.repeat(first[s:e], m)
+                yield likely(doc, size, at, side, folds, width, i, j)
+            s = e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None  # entries of the cell that may go on in the next batch
@@ -268,22 +343,26 @@ def _multiply(t: float):
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [np.asarray(c) for c in b.columns]
+            cols = [*(np.asarray(b.column(k)) for k in range(4)), *_signs_of(b.column(4), WORDS)]
             if rest is not None:
                 cols = [np.concatenate(z) for z in zip(rest, cols, strict=True)]
             cell = cols[0]
             cut = int(np.searchsorted(cell, cell[-1], side="left"))
             rest = [c[cut:] for c in cols]
             if cut:
-                for f in blocks(cell[:cut], cols[1][:cut], cols[2][:cut] >> 32, cols[2][:cut] & 0xFFFFFFFF, cols[3][:cut]):
+                for f in blocks(*(c[:cut] for c in cols)):
                     found.append(f)
                     held += len(f[0])
                     if held > 1_000_000:
                         yield from emit(found)
                         found, held = [], 0
         if rest is not None:
-            for f in blocks(rest[0], rest[1], rest[2] >> 32, rest[2] & 0xFFFFFFFF, rest[3]):
+            for f in blocks(*rest):
                 found.append(f)
+                held += len(f[0])
+                if held > 1_000_000:
+                    yield from emit(found)
+                    found, held = [], 0
         yield from emit(found)
 
     return run
@@ -332,7 +411,7 @@ class NearDuplicates:
             singles = s
         self.members = s.select("doc_id").join(copies.drop("size"), "doc_id", "left").select(F.coalesce("rep", "doc_id").alias("rep"), "doc_id")
         counts = sketch(singles)
-        blocks = entries(singles, counts, t).repartition("cell").sortWithinPartitions("cell")
+        blocks = entries(singles, counts, t).repartition("cell").sortWithinPartitions("cell", "size_at")
         counted = arrow_map(blocks, _multiply(t), "a bigint, b bigint, counts int").groupBy("a", "b").agg(F.sum("counts").alias("counts"))
         likely = counted.where(F.col("counts") >= COUNTS)
         likely = durable(likely.select("a", "b"), "likely")
@@ -384,7 +463,7 @@ class NearDuplicates:
         across = across.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
         # a large class is divided: each part of it meets the whole class in a task of its own
         c = self.copies
-        parts = F.ceil(F.col("size") / COLUMN).cast("int")
+        parts = F.ceil(F.col("size") / max(1, COLUMN // 16)).cast("int")
         left = c.select("rep", F.col("doc_id").alias("doc_a"), F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part"))
         right = c.select("rep", F.col("doc_id").alias("doc_b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
         within = left.join(right, ["rep", "part"]).where("doc_a < doc_b").select("doc_a", "doc_b")

@@ -424,3 +424,42 @@ def test_frequent_terms_beyond_the_broadcast(spark):
         distinct_terms.BROADCAST_TERMS = old
     assert a == b and len(a) == 360
     assert F is not None
+
+
+def _phrase_texts(seed, n=250, phrases=20, of=6, length=20):
+    """Texts of phrases out of a small stock: most pairs share some phrase, few share most of them."""
+    rng = random.Random(seed)
+    return [(i, " ".join(f"p{p}x{k}" for p in rng.sample(range(phrases), of + i % 3) for k in range(length)), None) for i in range(n)]
+
+
+def _true_pairs(rows, t):
+    sets = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in (text.split() for _, text, _ in rows)]
+    return {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b]) - 1e-12}
+
+
+def test_texts_that_share_a_phrase_are_not_paired(spark):
+    """Few of all pairs leave the product, though most share shingles, and the true ones are among them."""
+    rows = _phrase_texts(8, phrases=100, of=10, length=12)
+    rows += [(250 + i, " ".join(f"z{i}y{k}" if k < 15 else w for k, w in enumerate(text.split())), None) for i, text, _ in rows[:40]]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, site string")
+    s = neardup.sets(df).cache()
+    blocks = neardup.entries(s, neardup.sketch(s), 0.5).repartition(2, "cell").sortWithinPartitions("cell", "size_at")
+    left = {(r["a"], r["b"]) for r in neardup.arrow_map(blocks, neardup._multiply(0.5), "a bigint, b bigint, counts int").collect()}
+    true = _true_pairs(rows, 0.5)
+    assert len(true) >= 40 and true <= left and len(left) <= 0.06 * len(rows) * (len(rows) - 1) / 2
+
+
+@pytest.mark.parametrize(("t", "words", "rare"), [(0.3, 8, 0), (0.5, 1, 0), (0.5, 8, 1000), (0.5, 8, 3), (0.8, 2, 0)])
+def test_signs_lose_no_pair(spark, t, words, rare):
+    rows = _phrase_texts(int(10 * t) + words, n=120, phrases=12, length=9)
+    rows += [(120 + i, text + f" u{i} v{i}", None) for i, text, _ in rows[:9]] + [(130 + i, f"a b c d u{i}", None) for i in range(4)]
+    rows = [(i, text, None) for i, (_, text, _) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, site string")
+    old = neardup.WORDS, neardup.RARE, neardup.COLUMN
+    try:
+        neardup.WORDS, neardup.RARE, neardup.COLUMN = words, rare, 32
+        got = sorted(map(tuple, neardup.NearDuplicates(df, threshold=t, least_words=1).all_pairs().collect()))
+    finally:
+        neardup.WORDS, neardup.RARE, neardup.COLUMN = old
+    want = _true_pairs(rows, t)
+    assert got == sorted(want) and want
