@@ -463,3 +463,11 @@ def test_signs_lose_no_pair(spark, t, words, rare):
         neardup.WORDS, neardup.RARE, neardup.COLUMN = old
     want = _true_pairs(rows, t)
     assert got == sorted(want) and want
+
+
+@pytest.mark.parametrize("lists", [1, 5, 7, 9])
+def test_kind_does_not_depend_on_other_records(spark, common, lists):
+    """Lists are found however many there are, also where they are the ordinary records."""
+    texts = ["- red stone\n- blue mill\n- old field\n- wide road"] * lists + ["The old mill by the river was as old as the town. The stones of it were red."] * (10 - lists)
+    df = spark.createDataFrame([(i, t, None, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, site string, lang string")
+    assert sorted(map(tuple, quality.no_prose(df, common).collect())) == [(i, "list") for i in range(lists)]
